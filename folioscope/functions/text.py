@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # English and Chinese words that carry no search meaning.
 TERM_STOP_WORDS = ["and", "are", "for", "how", "the", "what", "when", "where", "which", "who", "why"]
@@ -86,7 +87,7 @@ def normalize_title(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Spark has no Unicode normalisation; pandas does it per Arrow batch."""
     return values.str.normalize("NFKC")

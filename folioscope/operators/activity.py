@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions.clock import ZONE, in_range, local_day, local_time
+from folioscope.functions.frames import literal_rows
 
 # Routes a page view may carry, and the categories of agent operations.
 OP_CATEGORIES = ["query", "search", "read", "write", "delete", "other"]
@@ -296,7 +297,7 @@ def op_category(op: Column) -> Column:
 def by_category(events: DataFrame) -> DataFrame:
     """Operations per category; every category is present."""
     totals = events.groupBy("op").agg(F.count("*").alias("count"))
-    blank = events.sparkSession.createDataFrame([(c, 0) for c in OP_CATEGORIES], "category string, count long")
+    blank = literal_rows(events.sparkSession, "category string, count long", [(c, 0) for c in OP_CATEGORIES])
     return (
         totals.select(op_category(F.col("op")).alias("category"), "count")
         .unionByName(blank)

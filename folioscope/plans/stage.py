@@ -130,3 +130,92 @@ ATTRIBUTED_SQL = f"""{PEOPLE_SQL}, {KEYS_SQL}, {OPS_SQL}, attributed as (
   left join api_keys k on k.id::varchar = e.key_id
   left join people d on d.id::varchar = e.delegated_id
   left join people c on c.id = k.creator_id)"""
+
+
+# --- page tree: region, nation, customer and order are the levels -------------------------------------
+
+
+def tree_pages(spark: SparkSession, sf: str) -> DataFrame:
+    no_text = F.lit(None).cast("string")
+
+    def level(name, key, parent, title, deleted=no_text):
+        return table(spark, sf, name).select(
+            key.alias("page_id"), parent.alias("parent_id"), title.alias("title"), deleted.alias("deleted_at")
+        )
+
+    tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    return (
+        level("region", tag("r", "r_regionkey"), no_text, F.col("r_name"))
+        .unionByName(level("nation", tag("n", "n_nationkey"), tag("r", "n_regionkey"), F.col("n_name")))
+        .unionByName(
+            level(
+                "customer", tag("c", "c_custkey"), tag("n", "c_nationkey"), F.col("c_name"),
+                F.when(F.col("c_acctbal") < 0, F.lit("1999-01-01")),
+            )
+        )
+        .unionByName(
+            level(
+                "orders", tag("o", "o_orderkey"), tag("c", "o_custkey"), F.col("o_orderpriority"),
+                F.when(F.col("o_orderstatus") == "P", F.lit("2000-01-01")),
+            )
+        )
+    )
+
+
+def tree_access(spark: SparkSession, sf: str) -> DataFrame:
+    """Restricted pages at three levels of the tree."""
+    tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string")).alias("page_id")
+    return (
+        table(spark, sf, "nation").filter(F.col("n_name").endswith("7")).select(tag("n", "n_nationkey"))
+        .union(table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(tag("c", "c_custkey")))
+        .union(table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(tag("o", "o_orderkey")))
+    )
+
+
+def tree_permissions(spark: SparkSession, sf: str) -> DataFrame:
+    """Users are suppliers, groups are nations: orders grant their shippers, the levels above a group."""
+    tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string")).alias("page_id")
+    none = F.lit(None).cast("long")
+    lines = table(spark, sf, "lineitem").select(
+        tag("o", "l_orderkey"), F.col("l_suppkey").alias("user_id"), none.alias("group_id"),
+        F.when(F.col("l_returnflag") == "A", "writer").otherwise("reader").alias("role"),
+    )
+    customers = table(spark, sf, "customer").select(
+        tag("c", "c_custkey"), none.alias("user_id"), F.col("c_nationkey").cast("long").alias("group_id"),
+        F.when(F.col("c_acctbal") > 5000, "writer").otherwise("reader").alias("role"),
+    )
+    nations = table(spark, sf, "nation").select(
+        tag("n", "n_nationkey"), none.alias("user_id"), F.col("n_nationkey").cast("long").alias("group_id"),
+        F.lit("reader").alias("role"),
+    )
+    every = lines.unionByName(customers).unionByName(nations)
+    return every.join(tree_access(spark, sf), "page_id", "left_semi")
+
+
+def tree_memberships(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").select(
+        F.col("s_nationkey").cast("long").alias("group_id"), F.col("s_suppkey").alias("user_id")
+    )
+
+
+TREE_SQL = """tree as (
+  select 'r' || r_regionkey as page_id, null::varchar as parent_id, r_name as title, null::varchar as deleted_at from region
+  union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name, null from nation
+  union all select 'c' || c_custkey, 'n' || c_nationkey, c_name, case when c_acctbal < 0 then '1999-01-01' end from customer
+  union all select 'o' || o_orderkey, 'c' || o_custkey, o_orderpriority, case when o_orderstatus = 'P' then '2000-01-01' end from orders)"""
+UP_SQL = """up as (
+  select page_id, page_id as anc, parent_id as nxt, 0 as depth from tree
+  union all select u.page_id, t.page_id, t.parent_id, u.depth + 1 from up u join tree t on t.page_id = u.nxt)"""
+ACCESS_SQL = """restricted as (
+  select 'n' || n_nationkey as page_id from nation where n_name like '%7'
+  union all select 'c' || c_custkey from customer where c_mktsegment = 'BUILDING'
+  union all select 'o' || o_orderkey from orders where o_orderpriority = '1-URGENT'),
+permission as (select * from (
+  select 'o' || l_orderkey as page_id, l_suppkey as user_id, null::bigint as group_id, case when l_returnflag = 'A' then 'writer' else 'reader' end as role from lineitem
+  union all select 'c' || c_custkey, null, c_nationkey, case when c_acctbal > 5000 then 'writer' else 'reader' end from customer
+  union all select 'n' || n_nationkey, null, n_nationkey, 'reader' from nation) where page_id in (select page_id from restricted)),
+grants as (select page_id, user_id, bool_or(role = 'writer') as can_write from (
+  select page_id, user_id, role from permission where user_id is not null
+  union all select page_id, s_suppkey, role from permission join supplier on s_nationkey = group_id) group by 1, 2)"""
+WITH_TREE = f"with recursive {TREE_SQL}, {UP_SQL}"
+WITH_ACCESS = f"{WITH_TREE}, {ACCESS_SQL}, needed as (select u.page_id, u.anc, u.depth from up u join restricted r on r.page_id = u.anc)"
