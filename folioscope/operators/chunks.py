@@ -233,18 +233,19 @@ def budget_check(chunks: DataFrame, limit: int, key: str = "doc_id") -> DataFram
 CELLS = "array<array<struct<text:string,header:boolean,rowspan:int,colspan:int>>>"
 
 
-def _grid(rows: list, width_of=lambda cell: max(cell["colspan"] or 1, 1)) -> list[list]:
+def _grid(rows: list) -> list[list]:
     """Cells laid out on a grid; a cell that spans rows or columns is repeated where it reaches."""
     placed: dict[tuple[int, int], dict] = {}
+    span = lambda cell, name: max(cell[name] or 1, 1)
     for r, row in enumerate(rows):
         column = 0
         for cell in row:
             while (r, column) in placed:
                 column += 1
-            for down in range(max(cell["rowspan"] or 1, 1)):
-                for right in range(width_of(cell)):
+            for down in range(span(cell, "rowspan")):
+                for right in range(span(cell, "colspan")):
                     placed.setdefault((r + down, column + right), cell)
-            column += width_of(cell)
+            column += span(cell, "colspan")
     width = max((c for _, c in placed), default=-1) + 1
     return [[placed.get((r, c)) for c in range(width)] for r in range(len(rows))]
 
@@ -254,11 +255,11 @@ def _clean(cell: dict | None) -> str:
 
 
 def _escape(value: str) -> str:
-    return value.replace("\\", "\\\\").replace(";", "\;").replace("=", "\\=")
+    return value.replace("\\", "\\\\").replace(";", "\\;").replace("=", "\\=")
 
 
 def _row_texts(rows: list) -> list[str]:
-    rows = [list(r) for r in rows]
+    rows = [list(r["cells"]) for r in rows]
     grid = _grid(rows)
     headed = bool(rows) and any(cell["header"] for cell in rows[0])
     names = [_clean(c) or f"Column {i}" for i, c in enumerate(grid[0], 1)] if headed else []
@@ -276,7 +277,9 @@ def table_rows(tables: DataFrame) -> DataFrame:
     def texts(cells: pd.Series) -> pd.Series:
         return cells.map(lambda rows: _row_texts(rows) if rows is not None else [])
 
-    return tables.select("page_id", "table_no", F.posexplode(texts(F.col("cells").cast(CELLS))).alias("row_no", "row_text"))
+    # arrays of arrays do not survive the Arrow conversion, so each row travels as a struct
+    wrapped = F.transform(F.col("cells").cast(CELLS), lambda row: F.struct(row.alias("cells")))
+    return tables.select("page_id", "table_no", F.posexplode(texts(wrapped)).alias("row_no", "row_text"))
 
 
 def _first_seen(rows: DataFrame, owner: str, items: Column, name: str) -> DataFrame:

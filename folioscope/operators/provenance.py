@@ -245,7 +245,7 @@ def removed_sources(known: list[DataFrame], pages: DataFrame) -> DataFrame:
     return ids.distinct().join(live, "source_id", "left_anti")
 
 
-def retire_sources(contributions: DataFrame, pages: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def retire_sources(contributions: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Surviving contributions re-merged, and the artifacts that lost their last one."""
     left = contributions.join(removed, "source_id", "left_anti")
     touched = contributions.join(removed, "source_id", "left_semi").select("artifact_id").distinct()

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from folioscope.plans import activity, knowledge, workspace  # noqa: F401
+from folioscope.plans import activity, knowledge, retrieval, workspace  # noqa: F401
 from folioscope.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

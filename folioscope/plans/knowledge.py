@@ -313,7 +313,7 @@ def removed_sources(spark, sf):
 @plan(f"""with {CONTRIB}, {URGENT}, touched as (select distinct artifact_id from contrib where source_id in (select o_orderkey from urgent))
 select artifact_id, count(distinct source_id) filter (where source_id not in (select o_orderkey from urgent)) as sources_left from contrib where artifact_id in (select artifact_id from touched) group by 1""")
 def source_retirement(spark, sf):
-    again, orphans = V.retire_sources(_contributions(spark, sf), None, _urgent(spark, sf))
+    again, orphans = V.retire_sources(_contributions(spark, sf), _urgent(spark, sf))
     return again.select("artifact_id", F.col("sources").alias("sources_left")).unionByName(
         orphans.select("artifact_id", F.lit(0).cast("long").alias("sources_left"))
     )
