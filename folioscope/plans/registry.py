@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.session import apply_guards
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -17,7 +20,13 @@ def plan(sql: str | None = None, name: str | None = None):
         key = name or fn.__name__
         if key in QUERIES:
             raise KeyError(f"query {key} is registered twice")
-        QUERIES[key] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            apply_guards(spark)
+            return fn(spark, sf)
+
+        QUERIES[key] = run
         if sql:
             CHECKS[key] = sql
         return fn

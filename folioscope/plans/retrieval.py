@@ -12,6 +12,7 @@ from folioscope.operators import retrieve as R
 from folioscope.operators import search as SE
 from folioscope.operators.paging import top_per_key
 from folioscope.plans.registry import plan, table
+from folioscope.session import cut_lineage
 
 TERMS = r"list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9_./:\-]{{2,}}')), lambda t: regexp_matches(t, '[a-z0-9]'))"
 TOKENS = r"regexp_extract_all(lower({0}), '[a-z0-9_./:\-]{{2,}}')"
@@ -163,7 +164,7 @@ def gated_authorized(spark, sf):
 @plan(f"""with {FUSED}, strict as (select query_id, chunk_id from fused where by_lexical and coalesce(lexical_score, 0) > 2)
 select query_id, chunk_id, 'policy' as mode from strict union all select query_id, chunk_id, 'fallback' from fused where query_id not in (select query_id from strict)""")
 def policy_fallback(spark, sf):
-    fused = _fused(spark, sf).select("query_id", "chunk_id", "by_lexical", "lexical_score")
+    fused = cut_lineage(_fused(spark, sf).select("query_id", "chunk_id", "by_lexical", "lexical_score"))
     scoped = fused.filter(F.col("by_lexical") & (F.coalesce("lexical_score", F.lit(0)) > 2))
     return R.policy_then_fallback(scoped.select("query_id", "chunk_id"), fused.select("query_id", "chunk_id"))
 
@@ -182,7 +183,8 @@ select distinct l.query_id, l.chunk_id, case when signal = 'semantic' and score
  when l.chunk_id not in (select chunk_id from allowed) then 'unauthorized' else 'rank_limit' end as reason
 from lists l left join fused f on f.query_id = l.query_id and f.chunk_id = l.chunk_id where (l.query_id, l.chunk_id) not in (select query_id, chunk_id from sel)""")
 def drop_reasons(spark, sf):
-    lists, fused = _lists(spark, sf), _fused(spark, sf)
+    lists = cut_lineage(_lists(spark, sf))
+    fused = R.rrf_fuse(lists, 40)
     good = fused.filter(R.relevant())
     ok = R.authorized(good, _allowed(spark, sf))
     candidates = lists.select(
@@ -304,7 +306,7 @@ best as (select f.*, source as page_id, row_number() over (partition by f.query_
  from fused f join documents on doc_id = f.chunk_id where {RELEVANT.format(0.55)} and rank > 10)
 select b.query_id, b.chunk_id, b.page_id, row_number() over (partition by b.query_id order by anchor desc, fused desc, b.chunk_id) as rank from best b join near using (query_id, page_id) where n = 1""")
 def edge_anchored(spark, sf):
-    fused = _fused(spark, sf)
+    fused = cut_lineage(_fused(spark, sf))
     owned = _docs(spark, sf).select("chunk_id", F.col("source").alias("page_id"))
     rows = fused.join(owned, "chunk_id")
     near = rows.groupBy("query_id", "page_id").agg(F.min("chunk_id").cast("double").alias("anchor"))

@@ -16,12 +16,21 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+# With Spark 4.1 a union that keeps the partitioning of its inputs can be combined with a reused exchange
+# into a join that loses and repeats rows, so the union must not claim a partitioning.
+GUARDS = {"spark.sql.unionOutputPartitioning": "false"}
+
+
+def apply_guards(spark: SparkSession) -> None:
+    for key, value in GUARDS.items():
+        spark.conf.set(key, value)
+
 
 def build_session(master: str | None = None, app: str = "folioscope", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in {**DEFAULTS, **GUARDS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
