@@ -33,7 +33,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def clamped_similarity(a: Column, b: Column) -> Column:
-    return F.least(F.greatest(cosine_similarity(a, b), F.lit(0.0)), F.lit(1.0))
+    similarity = cosine_similarity(a, b)
+    return F.when(similarity.isNotNull(), F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0)))
 
 
 def _scan(block: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

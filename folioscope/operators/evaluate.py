@@ -254,7 +254,7 @@ def judge_score(kind: Column, verdict: Column) -> Column:
         F.when(kind == "faithfulness", share(claims, lambda c: c["verdict"] == "supported"))
         .when(kind == "context_relevancy", share(passages, lambda p: p["useful"]))
         .when(kind == "answer_correctness", grade)
-        .when(kind == "answer_relevancy", F.least(F.greatest(v["similarity"], F.lit(0.0)), F.lit(1.0)))
+        .when((kind == "answer_relevancy") & v["similarity"].isNotNull(), F.least(F.greatest(v["similarity"], F.lit(0.0)), F.lit(1.0)))
     )
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from folioscope.plans import activity, evaluation, knowledge, network, retrieval, workspace  # noqa: F401
+from folioscope.plans import activity, evaluation, knowledge, network, retrieval, tables, workspace  # noqa: F401
 from folioscope.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
