@@ -8,7 +8,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -18,7 +17,8 @@ DEFAULTS = {
 
 # With Spark 4.1 a union that keeps the partitioning of its inputs can be combined with a reused exchange
 # into a join that loses and repeats rows, so the union must not claim a partitioning.
-GUARDS = {"spark.sql.unionOutputPartitioning": "false"}
+# Times without a zone are UTC, so the session has to read them as UTC.
+GUARDS = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.session.timeZone": "UTC"}
 
 
 def apply_guards(spark: SparkSession) -> None:
