@@ -88,7 +88,7 @@ def budget_check(spark, sf):
 
 @plan("""with r as (select l_orderkey, l_quantity, l_extendedprice, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n, o_orderpriority
  from lineitem join orders on o_orderkey = l_orderkey)
-select l_orderkey as page_id, 0 as table_no, n - 1 as row_no, 'Priority=' || o_orderpriority || '; Units\\==' || l_quantity::bigint || '; Column 3=a\;' || n as row_text from r""")
+select l_orderkey as page_id, 0 as table_no, n - 1 as row_no, 'Priority=' || o_orderpriority || '; Units\\==' || l_quantity::bigint || '; Column 3=a\\;' || n as row_text from r""")
 def table_rows(spark, sf):
     line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     cell = lambda text, header=False, down=1: F.struct(

@@ -45,7 +45,7 @@ def load_corpus(spark: SparkSession, path: str, id_rule: str = "row") -> DataFra
 def read_space_export(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, title, text) from the Markdown files of an unpacked export; blank files are skipped."""
     root = path.rstrip("/")
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     where = F.url_decode(F.col("_metadata.file_path"))
     rows = files.select("value", where.alias("file"))
     inner = F.regexp_extract("file", "^.*?" + root.replace("\\", "\\\\").replace(".", "\\.") + r"/(.*)\.[mM][dD]$", 1)
