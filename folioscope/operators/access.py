@@ -106,11 +106,8 @@ def visible_counts(pages: DataFrame, access: DataFrame, grants: DataFrame, users
         F.sum("pages").alias("opened")
     )
     free = pages.join(zoned.select("page_id"), "page_id", "left_anti").agg(F.count("*").alias("free"))
-    return (
-        users.select("user_id", F.lit(1).alias("_one"))
-        .join(F.broadcast(free.withColumn("_one", F.lit(1))), "_one")
-        .join(opened, "user_id", "left")
-        .select("user_id", (F.col("free") + F.coalesce("opened", F.lit(0))).alias("visible"))
+    return users.select("user_id").join(opened, "user_id", "left").select(
+        "user_id", (free.scalar() + F.coalesce("opened", F.lit(0))).alias("visible")
     )
 
 

@@ -239,8 +239,7 @@ def metric_summary(metrics: DataFrame, samples: DataFrame) -> DataFrame:
 
 def answer_mode_distribution(samples: DataFrame) -> DataFrame:
     counts = samples.groupBy(F.coalesce("answer_mode", F.lit("missing")).alias("mode")).agg(F.count("*").alias("n"))
-    total = samples.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
-    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select("mode", (F.col("n") / F.col("total")).alias("share"))
+    return counts.select("mode", (F.col("n") / samples.agg(F.count("*")).scalar()).alias("share"))
 
 
 def judge_score(kind: Column, verdict: Column) -> Column:

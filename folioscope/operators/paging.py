@@ -60,8 +60,7 @@ def offset_page(df: DataFrame, order: list[Column], page: int, limit: int) -> Da
 
 def with_total(page: DataFrame, rows: DataFrame) -> DataFrame:
     """The total of `rows` on each row of a page: a separate count, not a window over everything."""
-    total = rows.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
-    return page.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    return page.withColumn("total", rows.agg(F.count("*")).scalar())
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from folioscope.functions.text import normalize_title, query_terms, trigrams
 from folioscope.operators.paging import top_per_key
+from folioscope.session import cut_lineage
 
 # Fusion, gates and graph weights.
 RRF_K = 60
@@ -41,19 +42,16 @@ def with_terms(rows: DataFrame, text: str = "text", name: str = "terms") -> Data
 
 
 def term_classes(query_rows: DataFrame, chunk_rows: DataFrame, total: DataFrame) -> DataFrame:
-    """(query_id, term, df, common) for exploded terms; total is the one-row chunk count.
+    """(query_id, term, df, common) for exploded terms; total is the one-value frame of the chunk count.
 
     A term is common when it is in more than 5% of the chunks and in more than 20 of them. df is one
     aggregation with partial counts, so the most frequent term costs no more than any other.
     """
     wanted = query_rows.select("term").distinct()
     df = chunk_rows.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    bound = F.greatest(F.lit(COMMON_MIN), F.ceil(F.col("total") * COMMON_RATIO))
-    return (
-        query_rows.join(df, "term", "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-        .select("query_id", "term", F.coalesce("df", F.lit(0)).alias("df"), (F.coalesce("df", F.lit(0)) > bound).alias("common"))
+    bound = F.greatest(F.lit(COMMON_MIN), F.ceil(total.scalar() * COMMON_RATIO))
+    return query_rows.join(df, "term", "left").select(
+        "query_id", "term", F.coalesce("df", F.lit(0)).alias("df"), (F.coalesce("df", F.lit(0)) > bound).alias("common")
     )
 
 
@@ -70,23 +68,27 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """
     query_rows = with_terms(queries).select("query_id", "terms")
     exploded = query_rows.select("query_id", F.explode("terms").alias("term"))
-    chunk_rows = with_terms(chunks).select("chunk_id", F.explode("terms").alias("term"))
-    total = chunks.agg(F.count("*").alias("total"))
-    classes = term_classes(exploded, chunk_rows, total)
+    # one pass over the texts: the part of the term table that the queries touch is kept as files
+    held = cut_lineage(
+        with_terms(chunks).select("chunk_id", F.explode("terms").alias("term")).join(exploded.select("term").distinct(), "term", "left_semi")
+    )
+    classes = term_classes(exploded, held, chunks.agg(F.count("*").alias("total")))
     rare = classes.filter(~F.col("common"))
     needed = rare.groupBy("query_id").agg(minimum_match(F.count("*")).alias("needed"))
     hits = (
         rare.select("query_id", "term")
-        .join(chunk_rows, "term")
+        .join(held, "term")
         .groupBy("query_id", "chunk_id")
         .agg(F.count("*").alias("coverage"))
         .join(needed, "query_id")
         .filter(F.col("coverage") >= F.col("needed"))
     )
-    tokens = chunks.select("chunk_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_./:\-]{2,})"), F.lit(1)).alias("tokens"))
+    # texts are read again for candidates only, and tokens are made after the join
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_./:\-]{2,})"), F.lit(1))
     dense = (
-        hits.join(tokens, "chunk_id")
+        hits.join(chunks.select("chunk_id", "text"), "chunk_id")
         .join(query_rows, "query_id")
+        .withColumn("tokens", tokens)
         .withColumn("r", F.size(F.filter("tokens", lambda t: F.array_contains("terms", t))) / F.greatest(F.size("tokens"), F.lit(1)))
     )
     scored = dense.select(

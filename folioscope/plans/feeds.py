@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import paging as P
 from folioscope.plans import stage as S
 from folioscope.plans.registry import plan, table
+from folioscope.session import shared_folder
 from folioscope.sources import datasets as D
 from folioscope.sources import feeds as FE
 from folioscope.streaming import streams as ST
@@ -24,8 +24,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 def _run(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there and reads its result back from the shared checkpoint folder."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/data").start()

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -35,20 +35,26 @@ def build_session(master: str | None = None, app: str = "folioscope", **conf: st
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+    """The rows of `df` read back from a table written to the shared folder.
 
-    Iterative operators call this once per round so that a lost executor re-reads a file instead of
-    replaying every earlier round. Only a session without `spark.checkpoint.dir` (tests) gets a
-    temporary folder.
+    Iterative operators call this once per round. A lost executor re-reads a file instead of replaying
+    the rounds before, and the planner sees real sizes: a checkpointed frame would keep the estimates
+    of its plan, which multiply from join to join and from round to round.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    # checkpoint() runs the plan again for the write, so keep the blocks until it is done
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return held.checkpoint(eager=True)
-    finally:
-        held.unpersist()
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

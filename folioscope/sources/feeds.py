@@ -73,8 +73,8 @@ def bucket_of(key: Column) -> Column:
 def replace_in_table(new: DataFrame, touched: DataFrame, key: str, path: str) -> None:
     """Replaces all rows of the touched keys in a table that is partitioned by a hash of the key.
 
-    Only partitions with a touched key are read and written again. The merged rows are checkpointed
-    before the overwrite, so a lost executor never re-reads a partition that is being replaced.
+    Only partitions with a touched key are read and written again. The merged rows are written to
+    the shared folder before the overwrite, so a lost executor never re-reads a partition that is being replaced.
     """
     spark = new.sparkSession
     target, files = _folder(spark, path)
