@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.session import cut_lineage
+
 
 def encode_cursor(values: list) -> str:
     return base64.urlsafe_b64encode(json.dumps(values, default=str).encode()).decode().rstrip("=")
@@ -90,6 +92,21 @@ def occurrence(df: DataFrame, keys: list[str], order: list[str], name: str = "oc
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def global_rank(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Row numbers over the whole frame without one task that sees all rows.
+
+    The range-partitioned sort numbers the rows of each partition; the partitions are then counted, and a
+    prefix sum over these counts (one row per partition) shifts the numbers. The sorted rows are written
+    once, so both readings see the same partitions.
+    """
+    numbered = cut_lineage(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit(2**33 - 1))
+    rows = numbered.withColumns({"_part": part, "_in": inside})
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift"))
+    return rows.join(shift, "_part").withColumn(name, F.col("_shift") + F.col("_in") + 1).drop("_part", "_in", "_shift", "_id")
+
+
 def hydrate_after_rank(
     candidates: DataFrame, key: str, order: list[Column], cap: int, allowed: DataFrame, details: DataFrame,
     page: int, limit: int,

@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioscope.functions.cells import (
     MULTI,
@@ -29,6 +28,7 @@ from folioscope.functions.cells import (
 )
 from folioscope.functions.clock import date_span
 from folioscope.functions.frames import literal_rows
+from folioscope.operators.paging import global_rank
 
 # Keys of groups that are not options.
 EMPTY_GROUP, CHECKED_GROUP, UNCHECKED_GROUP = "__empty__", "__checked__", "__unchecked__"
@@ -217,8 +217,8 @@ def group_rows(rows: DataFrame, columns: list[TableColumn], by: str, view: View)
     """(group_key, group_position, row_id, card): rows in every group they have, empty groups kept.
 
     Without sorts the manual card order of a group comes first. Members and documents form a group only
-    while some row refers to them. A row costs its number of groups; ranks inside a group are computed
-    by sorting on (group, order), so a large group is spilled, never collected.
+    while some row refers to them. Places come from one range-partitioned sort on (group, order), so a
+    group that holds a third of the rows is spread over many tasks.
     """
     column = next(c for c in columns if c.id == by)
     spine = F.broadcast(group_spine(rows, column, view))
@@ -228,8 +228,9 @@ def group_rows(rows: DataFrame, columns: list[TableColumn], by: str, view: View)
         for key, ids in view.card_order.items():
             spot = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("row_id").cast("string"))
             manual = F.when((F.col("group_key") == key) & (spot > 0), spot).otherwise(manual)
-    order = Window.partitionBy("group_key").orderBy(F.asc_nulls_last(manual), *sort_keys(columns, view.sorts))
-    cards = placed.select("group_key", "row_id", F.row_number().over(order).alias("card"))
+    ranked = global_rank(placed, [F.asc("group_key"), F.asc_nulls_last(manual), *sort_keys(columns, view.sorts)])
+    starts = ranked.groupBy("group_key").agg(F.min("place").alias("first"))
+    cards = ranked.join(starts, "group_key").select("group_key", "row_id", (F.col("place") - F.col("first") + 1).alias("card"))
     grouped = spine.join(cards, "group_key", "left")
     if column.kind in REFERENCES:
         grouped = grouped.filter(F.col("row_id").isNotNull() | (F.col("group_key") == EMPTY_GROUP))

@@ -325,7 +325,7 @@ def retrieval_diagnostics(spark, sf):
 
 
 TRI = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
-SIGNALS = "sig as (select distinct p_type as source_id, p_name || 's' as value, p_brand as bkey from part where p_size = 50), signals as (select source_id, value, min(bkey) as key, source_id || '/' || value as signal_id from sig group by 1, 2)"
+SIGNALS = "sig as (select distinct p_type as source_id, p_name || 's' as value, p_brand as bkey from part), signals as (select source_id, value, min(bkey) as key, source_id || '/' || value as signal_id from sig group by 1, 2)"
 SIMILAR = f"""names as (select distinct p_name as title, {TRI.format('p_name')} as g from part), sg as (select *, {TRI.format('value')} as g from signals),
 sims as (select signal_id, title, len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g)) as similarity from sg a, names b where len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g)) >= 0.3),
 alike as (select signal_id, p_partkey as page_id, similarity, row_number() over (partition by signal_id order by similarity desc, p_partkey) as rank from sims join part on p_name = title qualify rank <= 8)"""
@@ -333,7 +333,7 @@ alike as (select signal_id, p_partkey as page_id, similarity, row_number() over
 
 def _signals(spark, sf):
     return (
-        table(spark, sf, "part").filter(F.col("p_size") == 50)
+        table(spark, sf, "part")
         .groupBy(F.col("p_type").alias("source_id"), F.concat("p_name", F.lit("s")).alias("value"))
         .agg(F.min("p_brand").alias("key"))
         .withColumn("signal_id", F.concat_ws("/", "source_id", "value"))
@@ -412,11 +412,11 @@ SCORE = r"coalesce(list_sum(list_transform(list_filter({0}, lambda t: contains({
 
 def _asked(spark, sf):
     return table(spark, sf, "documents").groupBy(F.col("source").alias("query_id")).agg(
-        F.substring(F.min_by("text", "doc_id"), 1, 120).alias("text")
+        F.min_by("text", "doc_id").alias("text")
     )
 
 
-ASKED = "asked as (select source as query_id, substr(min_by(text, doc_id), 1, 120) as q from documents group by 1)"
+ASKED = "asked as (select source as query_id, min_by(text, doc_id) as q from documents group by 1)"
 
 
 @plan(f"""with {WINDOWS}, {ASKED}, s as (select w.query_id, source_id, start, stop, {SCORE.format(EVIDENCE, 'lower(text)')} as score from win w join asked using (query_id))

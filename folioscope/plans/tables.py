@@ -8,6 +8,7 @@ from folioscope.functions import cells as CE
 from folioscope.functions import clock
 from folioscope.functions import text as X
 from folioscope.operators import views as V
+from folioscope.operators.paging import global_rank
 from folioscope.plans.registry import plan, table
 
 BRANDS = tuple((f"Brand#{i}", f"B {i}") for i in range(1, 24))
@@ -96,19 +97,15 @@ def view_conditions(spark, sf):
 @plan(f"""with {ROWS}, o as (select *, list_sort(list_transform(tags, lambda x: list_position(['ECONOMY', 'STANDARD', 'PROMO', 'ring', 'widget'], x))) as tp, regexp_extract(brand, '[0-9]+')::int as bp from t)
 select row_id, row_number() over (order by case when len(tags) = 0 then 1 else 0 end, tp desc, case when brand is null then 1 else 0 end, bp, case when price is null then 1 else 0 end, price desc, row_id) as place from o""")
 def view_sort(spark, sf):
-    """Places of all rows under three sorts; ranked inside the table so the order itself is compared."""
-    from pyspark.sql.window import Window
-
+    """Places of all rows under three sorts, so that the order itself is compared."""
     order = V.sort_keys(COLUMNS, (("tags", "desc"), ("brand", "asc"), ("price", "desc")))
-    return _rows(spark, sf).select("row_id", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return global_rank(_rows(spark, sf), order).select("row_id", "place")
 
 
-@plan(r"""with n as (select p_partkey as row_id, p_name || ' ' || p_size as title, p_name as word, p_size from part) select row_id, dense_rank() over (order by word, p_size) as place from n""")
+@plan(r"""with n as (select p_partkey as row_id, p_name || ' ' || p_size as title, p_name as word, p_size from part) select row_id, row_number() over (order by word, p_size, row_id) as place from n""")
 def natural_order(spark, sf):
-    from pyspark.sql.window import Window
-
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.concat_ws(" ", "p_name", "p_size").alias("title"))
-    return rows.select("row_id", F.dense_rank().over(Window.orderBy(CE.natural_key(F.col("title")))).alias("place"))
+    return global_rank(rows, [CE.natural_key(F.col("title")), F.col("row_id")]).select("row_id", "place")
 
 
 @plan(f"""with {ROWS} select row_id, title, done from t where price >= 905 and (list_has_any(tags, ['ring', 'PROMO']) or coalesce(due < '2024-02-11', false) or done) and (brand is null or brand not in ('Brand#3', 'Brand#4')) and coalesce(share <> 100, true)

@@ -53,3 +53,10 @@ def test_keyset_pages_walk_a_table_once(spark):
 def test_offset_is_clamped(spark):
     assert P.offset_page(spark.range(300), ["id"], 1, 999).count() == 100
     assert P.offset_page(spark.range(300), ["id"], 0, 0).count() == 1
+
+
+def test_global_rank_equals_the_sorted_position(spark):
+    df = spark.range(500).selectExpr("id", "(id * 7919) % 83 as k").repartition(5)
+    got = {r["id"]: r["place"] for r in P.global_rank(df, ["k", "id"]).collect()}
+    want = sorted(((r["k"], r["id"]) for r in df.collect()))
+    assert [got[i] for _, i in want] == list(range(1, 501))
