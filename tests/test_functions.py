@@ -33,7 +33,6 @@ def test_terms(one):
 
 
 def test_query_terms_drop_question_words(one):
-    assert one(lambda c: text.query_terms(F.lower(c)), "什么 配置 -- abc") == ["abc", "配置"] or True
     got = one(lambda c: text.query_terms(F.lower(c)), "什么 配置 -- abc")
     assert "什么" not in got and "--" not in got and set(got) == {"abc", "配置"}
 
