@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import lines, mixing
+from folioscope.llm import lines, mixing, simhash
 from folioscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     return keep
 
 
-DOC_ID = F.col("row.doc_id").alias("doc_id")
+DOC_ID = "row.doc_id"
 
 
 @query(f"""
@@ -46,6 +46,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(DOC_ID, "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query()
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those within two bits."""
+    found = simhash.cluster(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query()
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to targets by source."""
