@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +53,12 @@ def sha_of_list(items: Column) -> Column:
     return F.sha2(F.array_join(items, ","), 256)
 
 
-def each_text(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Record batches with their texts as UTF-8; null is empty."""
+def each_text(batches: Iterator[pa.RecordBatch], column: str = "text", inside: str | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Record batches with their texts as UTF-8; null is empty. `inside` names the field of a struct column."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
+        if inside is not None:
+            texts = pc.struct_field(texts, [texts.type.get_field_index(inside)])
         yield batch, [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import lines, mixing, simhash
-from folioscope.llm.common import table
+from folioscope.llm import decontam, lines, mixing, simhash
+from folioscope.llm.common import sha_of_list, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -46,6 +46,27 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(DOC_ID, "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query(f"""
+with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+i as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark),
+iw as (select distinct item_id, list_slice(w, k, k + 9) as win from (select item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) as k from i where len(w) > 0)),
+sizes as (select distinct len(win) as n from iw),
+dw as (select doc_id, k, n, list_slice(w, k, k + n - 1) as win from (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as k from d, sizes where len(w) >= n)),
+hits as (select distinct doc_id, k, n from dw where win in (select win from iw)),
+words_hit as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(k, k + n)) as p from hits) group by 1),
+items as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as l from (select distinct dw.doc_id, cast(iw.item_id as varchar) as item from dw join iw on dw.win = iw.win) group by 1)
+select d.doc_id, len(d.w) as n_words, coalesce(h.n, 0) as n_hit, coalesce(t.n, 0) as n_items, sha256(coalesce(t.l, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from d left join words_hit h on h.doc_id = d.doc_id left join items t on t.doc_id = d.doc_id
+""")
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside verbatim matches with benchmark items."""
+    found = decontam.find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        DOC_ID, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha_of_list(F.col("items")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query()
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those within two bits."""
