@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontam, lines, mixing, simhash
+from folioscope.llm import decontam, lines, mixing, quality, simhash
 from folioscope.llm.common import sha_of_list, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,13 @@ def query(sql: str | None = None):
 DOC_ID = "row.doc_id"
 
 
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of all documents and the verdict by divergence from their language."""
+    judged = quality.assess(table(spark, sf_dir, "documents"))
+    return judged.select(DOC_ID, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query(f"""
 with pieces as (select doc_id, string_split(coalesce(text, ''), chr(10)) as p from documents),
 lines as (select doc_id, unnest(p) as line, generate_subscripts(p, 1) as place from pieces),
