@@ -107,7 +107,7 @@ def references(measured: DataFrame, min_words: int) -> DataFrame:
     total = F.aggregate("classes", F.lit(0).cast("long"), lambda a, c: a + c)
     of = part.select("language", shares(F.col("classes"), total).alias("c"), shares(with_rest(F.col("common"), F.col("n_words")), F.col("n_words")).alias("w"))
     width = max(len(x) for x in COMMON.values()) + 1
-    middle = lambda x: F.percentile_approx(x, 0.5, 10_000)
+    middle = lambda x: F.percentile_approx(x, 0.5, 500)
     found = of.groupBy("language").agg(
         F.count("*").alias("n"), F.max(F.size("w")).alias("width"),
         F.array(*[middle(F.col("c")[k]) for k in range(CLASSES)]).alias("c"), F.array(*[middle(F.get("w", F.lit(k))) for k in range(width)]).alias("w"),
