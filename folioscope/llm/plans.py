@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontam, lines, mixing, quality, simhash
+from folioscope.llm import decontam, lines, mixing, quality, simhash, tokens
 from folioscope.llm.common import sha_of_list, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,11 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to targets by source."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(DOC_ID, "size", "source_size", "target", "taken")
+
+
+@query()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, from a cache that begins empty."""
+    docs = table(spark, sf_dir, "documents")
+    counted = tokens.count_tokens(docs.select("doc_id", "text"), tokens.new_cache(spark), blanks_split=True)
+    return counted.select(DOC_ID, "n_bytes", "n_tokens", "over_limit")
