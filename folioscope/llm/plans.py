@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontam, lines, mixing, quality, simhash, tokens
+from folioscope.llm import decontam, lines, mixing, pii, quality, secrets, simhash, tokens
 from folioscope.llm.common import sha_of_list, table
+from folioscope.llm.spans import count_of, listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -94,3 +95,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = tokens.count_tokens(docs.select("doc_id", "text"), tokens.new_cache(spark), blanks_split=True)
     return counted.select(DOC_ID, "n_bytes", "n_tokens", "over_limit")
+
+
+@query()
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, from a ledger that begins empty."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.new_ledger(spark))
+    base = F.filter("spans", lambda s: s["kind"].isin(secrets.BASE))
+    return found.select(
+        DOC_ID, *[count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query()
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by fixed patterns and by contexts learned from them."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"), *[count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
