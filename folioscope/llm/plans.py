@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontam, lines, mixing, pii, quality, secrets, simhash, tokens
+from folioscope.llm import decontam, licenses, lines, mixing, pii, quality, secrets, simhash, tokens
 from folioscope.llm.common import sha_of_list, table
 from folioscope.llm.spans import count_of, listed
 
@@ -116,3 +116,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc").alias("doc_id"), *[count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
+
+
+@query()
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences and their known sentences in all documents."""
+    found = licenses.scan_licences(table(spark, sf_dir, "documents"))
+    return found.select(
+        DOC_ID, F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"),
+    )
