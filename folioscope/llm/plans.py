@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontam, licenses, lines, mixing, pii, quality, secrets, simhash, tokens
+from folioscope.llm import decontam, licenses, lines, lm, mixing, pii, quality, secrets, simhash, tokens
 from folioscope.llm.common import sha_of_list, table
 from folioscope.llm.spans import count_of, listed
 
@@ -125,3 +125,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         DOC_ID, F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"),
     )
+
+
+@query()
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a model of those not held out."""
+    scored = lm.score_documents(table(spark, sf_dir, "documents"))
+    return scored.select(F.col("doc").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
