@@ -14,7 +14,7 @@ from folioscope.llm.common import SPACE, checked_broadcast, packed, saved
 # Epoch r of a token costs REPEAT_COST[r]: fresh text first, each repetition dearer than the one before.
 REPEAT_COST = (0, 1, 3)
 MAX_PATTERNS = 20_000
-PICKS = 4
+RUNS = 4
 
 
 def quotas(sizes: dict[str | None, int], weights: dict[str | None, float], total: float, most: int) -> dict[str | None, float]:
@@ -101,6 +101,12 @@ def route(patterns: dict[tuple, int], target: dict[str | None, float], costs: tu
     return {members: {s: net.room[e ^ 1] for s, e in out.items()} for members, out in arcs.items()}
 
 
+def close_run(state: dict, upto: int, filled: int) -> None:
+    """Notes a run of a pattern and what is missing after it."""
+    state["runs"].append((state["after"], upto, state["rest"]))
+    state |= {"after": upto, "rest": state["rest"] - filled}
+
+
 def word_count(text: Column) -> Column:
     """Number of words; one more than the gaps between them."""
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
@@ -124,8 +130,9 @@ def mix(
     of several sources has the first one's size and target in its row.
 
     Words are summed by membership pattern, the flow gives each pattern its words, and with them whole epochs and a
-    remainder. The remainder goes to documents in the order of a seeded hash of the row, up to the last that fits, and
-    then to the PICKS documents that come nearest to what is missing. No document is taken more than three times.
+    remainder. The remainder goes to documents in the order of a seeded hash of the row, up to the last that fits, RUNS
+    times among those no larger than what is missing, and at last to the one nearest to it. No document is taken more
+    than three times.
     Null or empty texts have size 0 and are never taken; repeated rows share their hash and are taken or left together.
     An empty table gives an empty table.
 
@@ -137,7 +144,7 @@ def mix(
     members = F.array_sort(F.array_distinct("source")) if several else F.array("source")
     draw = F.xxhash64(F.lit(seed), "doc", "text")
     base = base.select("row", members.alias("members"), word_count(F.col("text")).alias("size"), draw.alias("draw"))
-    units = saved(base.groupBy("members", "draw").agg(F.sum("size").alias("size")))
+    units = saved(base.groupBy("members", "draw").agg(F.sum("size").alias("size"), F.max("size").alias("one")))
 
     sums = units.groupBy("members").agg(F.sum("size").alias("size"))
     found = sums.limit(MAX_PATTERNS + 1).collect()
@@ -149,16 +156,20 @@ def mix(
     weigh = {s: (weights or {}).get(s, 1 + i % 3) for i, s in enumerate(names)}
     target = quotas(sizes, weigh, share * sum(patterns.values()), len(REPEAT_COST))
     given = {p: min(sum(out.values()), len(REPEAT_COST) * patterns[p]) for p, out in route(patterns, target).items()}
-    # What is known of each pattern grows to the words it still misses, the last draw taken by order and single picks.
+    # What is known of each pattern grows to the words it still misses, runs of the hash order that are taken, one
+    # document to fill up with and one to leave out.
     known = {
         p: {
-            "source_size": sizes[p[0]] if p else 0, "target": target[p[0]] if p else 0.0,
-            "epochs": given[p] // max(n, 1), "rest": given[p] % max(n, 1), "last": None, "picks": [], "left_out": None,
+            "source_size": sizes[p[0]] if p else 0, "target": target[p[0]] if p else 0.0, "epochs": given[p] // max(n, 1),
+            "rest": given[p] % max(n, 1), "after": -(1 << 63), "runs": [], "filler": None, "times": None, "left_out": None,
         }
         for p, n in patterns.items()
     }
     spark = docs.sparkSession
-    fields = {"source_size": "long", "target": "double", "epochs": "long", "rest": "long", "last": "long", "picks": "array<long>", "left_out": "long"}
+    fields = {
+        "source_size": "long", "target": "double", "epochs": "long", "rest": "long", "after": "long",
+        "runs": "array<struct<after:long,upto:long,most:long>>", "filler": "long", "times": "long", "left_out": "long",
+    }
 
     def with_plan(df: DataFrame, *names: str) -> DataFrame:
         plan = spark.createDataFrame(
@@ -168,42 +179,40 @@ def mix(
         own = F.coalesce("members", F.array(F.lit(None).cast("string")))
         return df.join(checked_broadcast(plan, len(known), MAX_PATTERNS), own == F.col("of"))
 
-    # The bucket of the seeded hash in which the remainder runs out, then the last unit inside it that fits.
-    # Ranks of a bucket lie in signed order, so buckets and draws are in one order.
-    bucket = F.shiftright("draw", 64 - (buckets - 1).bit_length())
-    dealt = with_plan(units, "rest").filter("size > 0 and rest > 0").withColumn("bucket", bucket)
-    upto = F.sum("size").over(Window.partitionBy("of").orderBy("bucket"))
-    edge = dealt.groupBy("of", "rest", "bucket").agg(F.sum("size").alias("size")).withColumn("until", upto)
-    edge = edge.filter("until > rest").groupBy("of").agg(F.min(F.struct("bucket", (F.col("until") - F.col("size")).alias("before"))).alias("edge"))
-    edge = edge.select(F.col("of").alias("edge_of"), F.col("edge.bucket").alias("edge_bucket"), "edge.before")
-    inside = dealt.join(checked_broadcast(edge, len(known), MAX_PATTERNS), (F.col("of") == F.col("edge_of")) & (F.col("bucket") == F.col("edge_bucket")))
-    inside = inside.withColumn("until", F.col("before") + F.sum("size").over(Window.partitionBy("of").orderBy("draw")))
-    fits = F.when(F.col("until") <= F.col("rest"), F.struct("until", "draw"))
-    ends = inside.groupBy("of").agg(F.max(fits).alias("fit"), F.first("before").alias("before"), F.first("edge_bucket").alias("edge")).collect()
+    # A run goes along the order of the hash to the last document that still fits, among those no larger than what is
+    # missing: first to the bucket of the hash in which the words run out, then inside it. The next run goes on from there.
     shift = 64 - (buckets - 1).bit_length()
-    for r in ends:
-        state = known[tuple(r["of"])]
-        state["last"] = r["fit"]["draw"] if r["fit"] else (r["edge"] << shift) - 1
-        state["rest"] -= r["fit"]["until"] if r["fit"] else r["before"]
-
-    # What is missing then is smaller than one document: the largest that fit into it, and at last the nearest in size.
-    for final in [False] * (PICKS - 1) + [True]:
-        open_ = with_plan(units, "rest", "last", "picks").filter(
-            "size > 0 and rest > 0 and draw > last and not array_contains(picks, draw)" + ("" if final else " and size <= rest")
-        )
-        best = open_.groupBy("of").agg(F.min(F.struct(F.abs(F.col("rest") - F.col("size")).alias("off"), "draw", "size")).alias("best")).collect()
-        for r in best:
-            state = known[tuple(r["of"])]
-            if r["best"]["off"] < state["rest"]:
-                state["picks"].append(r["best"]["draw"])
-                state["rest"] -= r["best"]["size"]
-    # Where the nearest was too large, the one document goes whose size is nearest to the excess.
-    taken_again = F.coalesce((F.col("draw") <= F.col("last")) | F.array_contains("picks", F.col("draw")), F.lit(False))
-    shut = with_plan(units, "rest", "last", "picks").filter(taken_again & F.expr("size > 0 and rest < 0"))
+    for _ in range(RUNS):
+        dealt = with_plan(units, "rest", "after").filter("size > 0 and one <= rest and draw > after").withColumn("bucket", F.shiftright("draw", shift))
+        upto = F.sum("size").over(Window.partitionBy("of").orderBy("bucket"))
+        edge = dealt.groupBy("of", "rest", "bucket").agg(F.sum("size").alias("size")).withColumn("until", upto)
+        last = F.min(F.when(F.col("until") > F.col("rest"), F.struct("bucket", (F.col("until") - F.col("size")).alias("before"))))
+        edge = saved(edge.groupBy("of").agg(last.alias("edge"), F.max("until").alias("all")))
+        for r in edge.filter("edge is null").collect():
+            close_run(known[tuple(r["of"])], (1 << 63) - 1, r["all"])
+        edge = edge.filter("edge is not null").select(F.col("of").alias("edge_of"), F.col("edge.bucket").alias("edge_bucket"), "edge.before")
+        inside = dealt.join(checked_broadcast(edge, len(known), MAX_PATTERNS), (F.col("of") == F.col("edge_of")) & (F.col("bucket") == F.col("edge_bucket")))
+        inside = inside.withColumn("until", F.col("before") + F.sum("size").over(Window.partitionBy("of").orderBy("draw")))
+        fits = F.when(F.col("until") <= F.col("rest"), F.struct("until", "draw"))
+        for r in inside.groupBy("of").agg(F.max(fits).alias("fit"), F.first("before").alias("before"), F.first("edge_bucket").alias("edge")).collect():
+            close_run(known[tuple(r["of"])], r["fit"]["draw"] if r["fit"] else (r["edge"] << shift) - 1, r["fit"]["until"] if r["fit"] else r["before"])
+
+    # Then the document comes that, taken so often as it still may be, is nearest to what is missing, and if that is too
+    # much, one like the excess goes.
+    in_runs = F.coalesce(F.exists("runs", lambda r: (F.col("draw") > r["after"]) & (F.col("draw") <= r["upto"]) & (F.col("one") <= r["most"])), F.lit(False))
+    free = len(REPEAT_COST) - F.col("epochs") - in_runs.cast("long")
+    tries = [F.when(free >= m, F.struct(F.abs(F.col("rest") - m * F.col("size")).alias("off"), F.lit(m).cast("long").alias("times"), "draw", "size")) for m in range(1, len(REPEAT_COST) + 1)]
+    open_ = with_plan(units, "epochs", "rest", "runs").filter("size > 0 and rest > 0").groupBy("of").agg(F.min(F.array_min(F.array(*tries))).alias("best"))
+    for r in open_.filter("best is not null").collect():
+        state, best = known[tuple(r["of"])], r["best"]
+        if best["off"] < state["rest"]:
+            state |= {"filler": best["draw"], "times": best["times"], "rest": state["rest"] - best["times"] * best["size"]}
+    again = in_runs.cast("long") + F.when(F.col("draw") == F.col("filler"), F.col("times")).otherwise(F.lit(0))
+    shut = with_plan(units, "rest", "runs", "filler", "times").filter(F.expr("size > 0 and rest < 0") & (again > 0))
     for r in shut.groupBy("of").agg(F.min(F.struct(F.abs(F.col("rest") + F.col("size")).alias("off"), "draw")).alias("best")).collect():
         state = known[tuple(r["of"])]
         if r["best"]["off"] < -state["rest"]:
             state["left_out"] = r["best"]["draw"]
-    again = (taken_again & ~F.col("draw").eqNullSafe(F.col("left_out"))).cast("long")
-    chosen = with_plan(base, "source_size", "target", "epochs", "last", "picks", "left_out")
+    again = again - F.when(F.col("draw") == F.col("left_out"), F.lit(1)).otherwise(F.lit(0))
+    chosen = with_plan(base.withColumn("one", F.col("size")), "source_size", "target", "epochs", "runs", "filler", "times", "left_out")
     return chosen.select("row", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + again)).alias("taken"))
