@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SPACE_CHARS, each_text, packed, row_tag, saved, text_of
+from folioscope.llm.common import SPACE_CHARS, checked_broadcast, each_text, packed, row_tag, saved, text_of
 
+MAX_SENT = 200_000
 SPACE_BYTES = SPACE_CHARS.encode()
 
 
@@ -59,17 +60,18 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_ch
     never keeps such a line. Repeated rows are counted once and treated alike; an empty table gives an empty table.
 
     One pass over the texts writes line hashes; a document counts once per hash before hashes are counted, so a line
-    found everywhere is summed map-side. Only places of dropped lines are joined back.
+    found everywhere is summed map-side. Hashes over the threshold are broadcast up to MAX_SENT rows, beyond that joined by
+    shuffle, where Spark splits a hot hash. Only places of dropped lines are joined back.
     """
     base = packed(docs, doc=doc, text=text).withColumn("tag", row_tag("doc", "text"))
     lines = saved(explode_lines(base, min_chars))
-    common = (
+    common = saved(
         lines.groupBy("hi", "lo", "doc").agg(F.lit(1).alias("one"))
         .groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
         .filter(F.col("n") >= min_docs)
     )
     dropped = (
-        lines.join(common, ["hi", "lo"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
+        lines.join(checked_broadcast(common, common.count(), MAX_SENT), ["hi", "lo"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
         .groupBy("doc", "tag").agg(F.collect_set("place").alias("places"))
         .select(F.col("doc").alias("of_doc"), F.col("tag").alias("of_tag"), "places")
     )
