@@ -76,7 +76,7 @@ def _scan(block: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
     query_type = block.schema["query_id"].dataType.simpleString()
     chunk_type = chunks.schema["chunk_id"].dataType.simpleString()
-    return chunks.select("chunk_id", "chunk_vec").mapInPandas(
+    return chunks.filter(F.col("chunk_vec").isNotNull()).select("chunk_id", "chunk_vec").mapInPandas(
         best, f"query_id {query_type}, chunk_id {chunk_type}, distance double"
     )
 

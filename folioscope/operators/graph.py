@@ -13,7 +13,6 @@ from folioscope.operators.access import all_sources_allowed
 from folioscope.session import cut_lineage
 
 DEFAULT_NODES = 3000
-MAX_NODES = 10_000
 SECTIONS_PER_NODE = 8
 NEIGHBORS = 6
 BLOCK = 128
@@ -30,7 +29,7 @@ def graph_nodes(pages: DataFrame, page_sources: DataFrame, readable: DataFrame,
     """Newest live pages of the view whose sources are all readable; the limit is the size of the view."""
     allowed = all_sources_allowed(page_sources, readable.select("source_id", F.lit(True).alias("allowed")), "page_id")
     live = pages.filter(F.col("stale_at").isNull()).join(allowed, "page_id", "left_semi")
-    return live.orderBy(F.desc("updated_at"), F.asc("page_id")).limit(min(limit, MAX_NODES))
+    return live.orderBy(F.desc("updated_at"), F.asc("page_id")).limit(limit)
 
 
 def graph_edges(links: DataFrame, nodes: DataFrame, allowed_links: DataFrame) -> DataFrame:
@@ -47,7 +46,7 @@ def graph_edges(links: DataFrame, nodes: DataFrame, allowed_links: DataFrame) ->
 def graph_sections(sections: DataFrame, nodes: DataFrame, limit: int = DEFAULT_NODES) -> DataFrame:
     """Sections of the nodes, up to eight times the size of the view, with a title and an excerpt."""
     rows = sections.join(nodes.select("page_id", F.col("title").alias("page_title")), "page_id")
-    cut = rows.orderBy("page_id", "section_no").limit(min(limit, MAX_NODES) * SECTIONS_PER_NODE)
+    cut = rows.orderBy("page_id", "section_no").limit(limit * SECTIONS_PER_NODE)
     heading = F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit(""))
     return cut.select(
         "page_id", "section_no",
@@ -108,8 +107,8 @@ def _pairs_within(members: DataFrame, group: str, node: str) -> DataFrame:
     """(group, a, b): pairs of nodes that share a group, made block against block.
 
     Members are spread over blocks of about BLOCK rows and each pair of blocks is its own join key, so
-    one group that holds many nodes becomes many small tasks. Nodes come from a view of at most
-    MAX_NODES pages.
+    one group that holds many nodes becomes many small tasks. The rows that come out are as many as
+    the pairs: keep views to a size whose pairs are wanted.
     """
     size = members.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(size, group).withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
@@ -124,8 +123,6 @@ def _pairs_within(members: DataFrame, group: str, node: str) -> DataFrame:
 
 def semantic_candidates(nodes: DataFrame, page_sources: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, b, score, label) for nodes of a view with a common source or a common neighbour."""
-    if nodes.limit(MAX_NODES + 1).count() > MAX_NODES:
-        raise ValueError(f"a graph view holds at most {MAX_NODES} nodes; cut it with graph_nodes first")
     ids = nodes.select("page_id", "page_type")
     owned = page_sources.select("page_id", "source_id").distinct().join(ids.select("page_id"), "page_id", "left_semi")
     shared = _pairs_within(owned, "source_id", "page_id").groupBy("a", "b").agg(F.count("*").alias("shared"))

@@ -56,8 +56,10 @@ def page_cursor(row, fields: list[tuple[str, str]]) -> str:
 
 
 def offset_page(df: DataFrame, order: list[Column], page: int, limit: int) -> DataFrame:
-    size = min(max(limit, 1), 100)
-    return df.orderBy(*order).offset((max(page, 1) - 1) * size).limit(size)
+    """One page of `limit` rows, pages counted from 1."""
+    if page < 1 or limit < 1:
+        raise ValueError(f"no page {page} of {limit} rows")
+    return df.orderBy(*order).offset((page - 1) * limit).limit(limit)
 
 
 def with_total(page: DataFrame, rows: DataFrame) -> DataFrame:
@@ -107,16 +109,6 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "place") -> Data
     return rows.join(shift, "_part").withColumn(name, F.col("_shift") + F.col("_in") + 1).drop("_part", "_in", "_shift", "_id")
 
 
-def hydrate_after_rank(
-    candidates: DataFrame, key: str, order: list[Column], cap: int, allowed: DataFrame, details: DataFrame,
-    page: int, limit: int,
-) -> DataFrame:
-    """Rank narrow rows first, keep the allowed ones, cut the page, fetch wide columns last."""
-    ranked = candidates.orderBy(*order).limit(cap)
-    visible = ranked.join(allowed, key, "left_semi")
-    return offset_page(visible, order, page, limit).join(details, key)
-
-
 def previous_row(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """Each row with the columns of the row just before it under the same key."""
     window = Window.partitionBy(key).orderBy(*order)

@@ -98,21 +98,17 @@ def merge_contributions(contributions: DataFrame, budget: int = MAX_SHARED_CHUNK
     """One row per artifact from the contributions of its sources.
 
     contributions(artifact_id, source_id, title, text). The title is that of the smallest source, the
-    text the sorted distinct texts. Texts are made distinct and counted first; only artifacts within
-    the budget are put together, the others keep their pieces as rows (`merged_pieces`) and are flagged.
+    text the sorted distinct texts. Texts are made distinct before they are put together; an artifact of
+    more pieces than the budget is flagged, its text is whole all the same.
     """
     pieces = merged_pieces(contributions)
-    sizes = pieces.groupBy("artifact_id").agg(F.count("*").alias("pieces"))
     head = contributions.groupBy("artifact_id").agg(
         F.min_by("title", F.struct("source_id", "title")).alias("title"), F.countDistinct("source_id").alias("sources")
     )
-    small = sizes.filter(F.col("pieces") <= budget).select("artifact_id")
-    joined = pieces.join(small, "artifact_id", "left_semi").groupBy("artifact_id").agg(
-        F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("text")
-    )
-    return head.join(sizes, "artifact_id").join(joined, "artifact_id", "left").withColumn(
-        "over_budget", F.col("pieces") > budget
+    joined = pieces.groupBy("artifact_id").agg(
+        F.count("*").alias("pieces"), F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("text")
     )
+    return head.join(joined, "artifact_id").withColumn("over_budget", F.col("pieces") > budget)
 
 
 def merged_children(rows: DataFrame, key: Column, columns: list[str]) -> DataFrame:

@@ -5,44 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import contains_folded, fold, highlight, latin_terms
-from folioscope.operators.paging import any_of, hydrate_after_rank, offset_page, priority_first
+from folioscope.functions.text import contains_folded, fold, han_bigrams, highlight, latin_terms
+from folioscope.operators.paging import any_of, offset_page, priority_first, with_total
 
-RANK_CAP = 500
 # Weight of a hit in the title and in the text.
 TITLE_WEIGHT, TEXT_WEIGHT = 1.0, 0.4
 
 
-def _hits(tokens: Column, terms: list[str]) -> Column:
+def query_terms(query: str) -> Column:
+    """Terms of a query, made as those of texts are: folded latin terms and Han pairs."""
+    folded = fold(F.lit(query))
+    return F.concat(latin_terms(folded), han_bigrams(folded))
+
+
+def _hits(tokens: Column, terms: Column) -> Column:
     """Query terms present among the tokens; the last term may match as a prefix."""
-    total = F.when(F.exists(tokens, lambda t: F.startswith(t, F.lit(terms[-1]))), 1).otherwise(0)
-    for term in terms[:-1]:
-        total = total + F.when(F.array_contains(tokens, term), 1).otherwise(0)
-    return total
+    last = F.size(terms) - 1
+    found = F.filter(terms, lambda t, i: F.when(i == last, F.exists(tokens, lambda x: F.startswith(x, t))).otherwise(F.array_contains(tokens, t)))
+    return F.size(found)
 
 
 def page_rank(title: Column, text: Column, query: str) -> tuple[Column, Column]:
-    """(score, matched): weighted share of matching terms; a substring hit matches with score 0."""
-    terms = query.lower().split()
-    in_title, in_text = _hits(latin_terms(fold(title)), terms), _hits(latin_terms(fold(text)), terms)
-    score = (in_title * TITLE_WEIGHT + in_text * TEXT_WEIGHT) / len(terms)
-    every = F.greatest(in_title, in_text) == len(terms)
-    return score, every | contains_folded(title, query) | contains_folded(text, query)
+    """(score, matched): weighted share of matching terms; a substring hit matches with score 0.
+
+    A query without any term, as one letter, matches as a substring; an empty one matches nothing.
+    """
+    terms = query_terms(query)
+    tokens = lambda c: F.concat(latin_terms(fold(c)), han_bigrams(fold(c)))
+    asked = F.size(terms)
+    in_title, in_text = _hits(tokens(title), terms), _hits(tokens(text), terms)
+    score = F.when(asked > 0, (in_title * TITLE_WEIGHT + in_text * TEXT_WEIGHT) / asked).otherwise(F.lit(0.0))
+    every = (asked > 0) & (F.greatest(in_title, in_text) == asked)
+    return score, (every | contains_folded(title, query) | contains_folded(text, query)) & F.lit(bool(query.strip()))
 
 
 def search_pages(
-    pages: DataFrame, query: str, visible: DataFrame, page: int = 1, limit: int = 50, space_id=None
+    pages: DataFrame, query: str, visible: DataFrame, page: int = 1, limit: int = 50, space_id=None,
+    creator_id=None, modified_from=None, modified_to=None, titles_only: bool = False, page_ids: DataFrame | None = None,
 ) -> DataFrame:
-    """pages(page_id, title, text, space_id, deleted_at): ranked hits with a highlighted passage."""
+    """pages(page_id, title, text, space_id, deleted_at): ranked hits the reader may see, with a highlighted passage and
+    the total of hits.
+
+    Filters reach the scan: the space, the creator (creator_id), the time of change (updated_at), or a table of page_id,
+    as the pages of a label. `titles_only` searches titles alone. Access is decided before ranks are cut to a page.
+    """
     rows = pages.filter(F.col("deleted_at").isNull())
-    if space_id is not None:
-        rows = rows.filter(F.col("space_id") == space_id)
-    score, matched = page_rank(F.col("title"), F.col("text"), query)
-    ranked = rows.filter(matched).select("page_id", F.round(score, 6).alias("score"))
+    for name, test in (
+        ("space_id", lambda c: c == space_id if space_id is not None else None),
+        ("creator_id", lambda c: c == creator_id if creator_id is not None else None),
+        ("updated_at", lambda c: c >= F.lit(modified_from) if modified_from is not None else None),
+        ("updated_at", lambda c: c < F.lit(modified_to) if modified_to is not None else None),
+    ):
+        wanted = test(F.col(name))
+        rows = rows if wanted is None else rows.filter(wanted)
+    if page_ids is not None:
+        rows = rows.join(page_ids, "page_id", "left_semi")
+    text = F.lit("") if titles_only else F.col("text")
+    score, matched = page_rank(F.col("title"), text, query)
+    hits = rows.filter(matched).join(visible, "page_id", "left_semi").select("page_id", F.round(score, 6).alias("score"))
     details = pages.select("page_id", "title", highlight(F.col("text"), F.lit(query)).alias("highlight"))
-    return hydrate_after_rank(
-        ranked, "page_id", [F.desc("score"), F.asc("page_id")], RANK_CAP, visible, details, page, limit
-    )
+    cut = offset_page(hits, [F.desc("score"), F.asc("page_id")], page, limit)
+    return with_total(cut, hits).join(details, "page_id")
 
 
 def search_attachments(attachments: DataFrame, query: str, visible: DataFrame, limit: int = 25, texts: bool = False) -> DataFrame:

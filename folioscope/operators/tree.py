@@ -1,12 +1,14 @@
 """Page trees: descendants, ancestors, paths, subtree changes.
 
 Pages have page_id and parent_id. A walk joins one level per round, so a round touches only the pages
-below the current frontier; every frontier is checkpointed to keep lineage short. The number of rounds
-is the depth of the tree, never its size.
+below the current frontier; every frontier is written as a table to keep lineage short. A walk ends when
+nothing is left to reach, however deep that is. The number of rounds is the depth of the tree, never its size.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +16,14 @@ from pyspark.sql.window import Window
 
 from folioscope.session import cut_lineage
 
-MAX_DEPTH = 100
+# A share reaches this many levels down.
 SHARE_LEVELS = 25
 
 
 def walk_down(
-    children: DataFrame, start: DataFrame, carry: dict[str, Column], max_depth: int = MAX_DEPTH
+    children: DataFrame, start: DataFrame, carry: dict[str, Column], levels: int | None = None
 ) -> DataFrame:
-    """All rows reached from `start` by following children.parent_id, `start` included.
+    """All rows reached from `start` by following children.parent_id, `start` included, down to `levels` if given.
 
     `carry` computes the columns of a child from its own columns (prefix `c.`) and those of the parent
     row (prefix `p.`). Pages have one parent, so a page can only be met again through its own start
@@ -32,7 +34,7 @@ def walk_down(
     children = children.persist(StorageLevel.MEMORY_AND_DISK)  # every round reads it
     out = level
     has_root = "root" in carry
-    for _ in range(max_depth):
+    for _ in count() if levels is None else range(levels):
         below = (
             children.alias("c")
             .join(level.alias("p"), F.col("c.parent_id") == F.col("p.page_id"))
@@ -48,7 +50,7 @@ def walk_down(
     return out
 
 
-def descendants(pages: DataFrame, roots: DataFrame, live_only: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
+def descendants(pages: DataFrame, roots: DataFrame, live_only: bool = False, levels: int | None = None) -> DataFrame:
     """(page_id, root, depth) for every page in the subtree of each root, the root itself at depth 0."""
     rows = pages.filter(F.col("deleted_at").isNull()) if live_only else pages
     start = roots.select("page_id").distinct()
@@ -56,27 +58,32 @@ def descendants(pages: DataFrame, roots: DataFrame, live_only: bool = False, max
         start = start.join(rows.select("page_id"), "page_id", "left_semi")
     start = start.select("page_id", F.col("page_id").alias("root"), F.lit(0).alias("depth"))
     return walk_down(
-        rows.select("page_id", "parent_id"), start, {"root": F.col("p.root"), "depth": F.col("p.depth") + 1}, max_depth
+        rows.select("page_id", "parent_id"), start, {"root": F.col("p.root"), "depth": F.col("p.depth") + 1}, levels
     )
 
 
-def ancestors(pages: DataFrame, ids: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(page_id, ancestor_id, depth): the chain from each page up to its root, the page at depth 0."""
+def ancestors(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """(page_id, ancestor_id, depth): the chain from each page up to its root, the page at depth 0.
+
+    A row carries the pages it has passed, so a chain that runs into a circle ends where it would repeat itself.
+    """
     parents = pages.select(F.col("page_id").alias("ancestor_id"), "parent_id")
     level = ids.select("page_id").distinct().join(
         parents.select(F.col("ancestor_id").alias("page_id"), "parent_id"), "page_id"
-    ).select("page_id", F.col("page_id").alias("ancestor_id"), "parent_id", F.lit(0).alias("depth"))
-    out = level
-    for _ in range(max_depth):
+    ).select("page_id", F.col("page_id").alias("ancestor_id"), "parent_id", F.lit(0).alias("depth"), F.array("page_id").alias("_passed"))
+    out = level.select("page_id", "ancestor_id", "depth")
+    while True:
         level = cut_lineage(
-            level.filter(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("page_id")))
-            .select("page_id", F.col("parent_id").alias("ancestor_id"), (F.col("depth") + 1).alias("depth"))
+            level.filter(F.col("parent_id").isNotNull() & ~F.array_contains("_passed", F.col("parent_id")))
+            .select(
+                "page_id", F.col("parent_id").alias("ancestor_id"), (F.col("depth") + 1).alias("depth"),
+                F.array_append("_passed", F.col("parent_id")).alias("_passed"),
+            )
             .join(parents, "ancestor_id")
         )
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.select("page_id", "ancestor_id", "depth")
+            return out
+        out = out.unionByName(level.select("page_id", "ancestor_id", "depth"))
 
 
 def breadcrumbs(pages: DataFrame, separator: str = " / ") -> DataFrame:
@@ -145,7 +152,7 @@ def deleted_roots(pages: DataFrame) -> DataFrame:
     return dead.join(dead.select(F.col("page_id").alias("parent_id")), "parent_id", "left_anti")
 
 
-def nearest_marked(pages: DataFrame, marked: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def nearest_marked(pages: DataFrame, marked: DataFrame, levels: int | None = None) -> DataFrame:
     """(page_id, root, depth): the closest marked page at or above each page that has one.
 
     The walk starts at the marked pages and stops where the next one begins, so a page is reached once,
@@ -153,7 +160,7 @@ def nearest_marked(pages: DataFrame, marked: DataFrame, max_depth: int = MAX_DEP
     """
     marks = marked.select("page_id").distinct()
     plain = pages.join(marks, "page_id", "left_anti")
-    return descendants(plain, marks, max_depth=max_depth)
+    return descendants(plain, marks, levels=levels)
 
 
 def share_for_page(pages: DataFrame, shares: DataFrame) -> DataFrame:

@@ -516,7 +516,7 @@ def p95_latency(spark, sf):
     return D.p95(table(spark, sf, "events"), "event_type", "value")
 
 
-@plan("""with last as (select *, (props->>'$.k')::bigint as k from events order by ts desc, event_id desc limit 500)
+@plan("""with last as (select *, (props->>'$.k')::bigint as k from events order by ts desc, event_id desc limit 1000)
 select count(*) as queries, round(avg((event_type = 'error' or k = 0)::int), 6) as zero_hit_rate, round(avg((k > 50)::int), 6) as embedding_fallback_rate, round(avg((k > 90)::int), 6) as policy_fallback_rate,
 round(avg(case when event_type = 'error' then 0 else k end), 6) as mean_hits, round(avg(k), 6) as mean_candidates from last""")
 def retrieval_audit(spark, sf):

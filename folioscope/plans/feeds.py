@@ -277,7 +277,7 @@ def keyset_page_before(spark, sf):
     return P.keyset_page(orders, KEYS, 50, before=P.encode_cursor([250000.5, 700, 9])).select("o_orderkey", "o_totalprice")
 
 
-@plan("select o_orderkey, (select count(*) from orders where o_orderstatus = 'O') as total from orders where o_orderstatus = 'O' order by o_orderdate desc, o_orderkey desc limit 100 offset 100")
+@plan("select o_orderkey, (select count(*) from orders where o_orderstatus = 'O') as total from orders where o_orderstatus = 'O' order by o_orderdate desc, o_orderkey desc limit 500 offset 500")
 def offset_page(spark, sf):
     rows = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "O")
     page = P.offset_page(rows, [F.desc("o_orderdate"), F.desc("o_orderkey")], 2, 500)

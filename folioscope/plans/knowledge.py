@@ -159,7 +159,7 @@ CONTRIB = "contrib as (select l_partkey as artifact_id, l_orderkey as source_id,
 
 
 @plan(f"""with {CONTRIB} select artifact_id, min_by(title, (source_id, title)) as title, count(distinct source_id) as sources, count(distinct text) as pieces,
-count(distinct text) > 30 as over_budget, case when count(distinct text) <= 30 then sha256(string_agg(distinct text, chr(10) || chr(10) order by text)) end as text_hash from contrib group by 1""")
+count(distinct text) > 30 as over_budget, sha256(string_agg(distinct text, chr(10) || chr(10) order by text)) as text_hash from contrib group by 1""")
 def merge_contributions(spark, sf):
     merged = V.merge_contributions(_contributions(spark, sf), budget=30)
     return merged.withColumn("text_hash", X.sha256_hex(F.col("text"))).drop("text")

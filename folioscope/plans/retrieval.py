@@ -570,18 +570,35 @@ SEARCH_TOKENS = r"regexp_extract_all({0}, '[a-z0-9_./:\-]{{2,}}')"
 def _searchable(spark, sf):
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("page_id"), F.col("source").alias("title"), "text", F.col("lang").alias("space_id"),
-        F.when(F.col("lang") == "es", F.lit("1999")).alias("deleted_at"),
+        F.when(F.col("lang") == "es", F.lit("1999")).alias("deleted_at"), (F.col("doc_id") % 7).alias("creator_id"), F.col("n_chars").alias("updated_at"),
     )
 
 
-@plan(rf"""with d as (select doc_id as page_id, source as title, text, {SEARCH_TOKENS.format(FOLD.format('source'))} as tt, {SEARCH_TOKENS.format(FOLD.format('text'))} as xt, {FOLD.format('text')} as fx from documents where lang <> 'es'),
-h as (select *, (len(list_filter(['uber'], lambda q: list_contains(tt, q))) + (len(list_filter(tt, lambda t: starts_with(t, 'die'))) > 0)::int) as ht, (len(list_filter(['uber'], lambda q: list_contains(xt, q))) + (len(list_filter(xt, lambda t: starts_with(t, 'die'))) > 0)::int) as hx from d),
-r as (select page_id, round((ht * 1.0 + hx * 0.4) / 2, 6)::double as score from h where greatest(ht, hx) = 2 or contains(fx, 'uber die') order by score desc, page_id limit 500),
-{ALLOWED}, v as (select * from r where page_id in (select chunk_id from allowed) order by score desc, page_id limit 50)
-select page_id, score, source as title from v join documents on doc_id = page_id""")
+SEARCH_HITS = """h as (select *, (len(list_filter(['uber'], lambda q: list_contains(tt, q))) + (len(list_filter(tt, lambda t: starts_with(t, 'die'))) > 0)::int) as ht, (len(list_filter(['uber'], lambda q: list_contains(xt, q))) + (len(list_filter(xt, lambda t: starts_with(t, 'die'))) > 0)::int) as hx from d),
+r as (select page_id, round((ht * 1.0 + hx * 0.4) / 2, 6)::double as score from h where greatest(ht, hx) = 2 or contains(fx, 'uber die'))"""
+SEARCH_DOCS = rf"select doc_id as page_id, source as title, text, {SEARCH_TOKENS.format(FOLD.format('source'))} as tt, {SEARCH_TOKENS.format(FOLD.format('text'))} as xt, {FOLD.format('text')} as fx from documents where lang <> 'es'"
+
+
+@plan(rf"""with d as ({SEARCH_DOCS}), {SEARCH_HITS},
+{ALLOWED}, a as (select * from r where page_id in (select chunk_id from allowed)), v as (select * from a order by score desc, page_id limit 50)
+select page_id, score, source as title, (select count(*) from a) as total from v join documents on doc_id = page_id""")
 def search_pages(spark, sf):
+    """Two words apart, with an accent, in the texts one reader may see."""
+    visible = _allowed(spark, sf).withColumnRenamed("chunk_id", "page_id")
+    return SE.search_pages(_searchable(spark, sf), "über die", visible).select("page_id", "score", "title", "total")
+
+
+@plan(rf"""with d as ({SEARCH_DOCS} and lang = 'de' and doc_id % 7 = 3 and n_chars >= 200 and n_chars < 4000 and doc_id in (select doc_id from labels where quality = 1)), {SEARCH_HITS.replace("'uber die')", "'uber, die')")},
+{ALLOWED}, a as (select * from r where page_id in (select chunk_id from allowed)), v as (select * from a order by score desc, page_id limit 50)
+select page_id, score, (select count(*) from a) as total from v""")
+def search_filters(spark, sf):
+    """The same within a space, of one creator, changed in a span of time, among the pages of a label."""
     visible = _allowed(spark, sf).withColumnRenamed("chunk_id", "page_id")
-    return SE.search_pages(_searchable(spark, sf), "uber die", visible).select("page_id", "score", "title")
+    labelled = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("page_id"))
+    found = SE.search_pages(
+        _searchable(spark, sf), "Über, die", visible, space_id="de", creator_id=3, modified_from=200, modified_to=4000, page_ids=labelled
+    )
+    return found.select("page_id", "score", "total")
 
 
 @plan(r"""select doc_id as page_id, trim(regexp_replace(case when instr(lower(text), 'the') > 0 then substr(text, greatest(instr(lower(text), 'the') - 40, 1), instr(lower(text), 'the') - greatest(instr(lower(text), 'the') - 40, 1)) || '<b>' || substr(text, instr(lower(text), 'the'), 3) || '</b>' || substr(text, instr(lower(text), 'the') + 3, 40)

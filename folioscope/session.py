@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -35,14 +37,31 @@ def build_session(master: str | None = None, app: str = "folioscope", **conf: st
     return builder.getOrCreate()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove_written() -> None:
+    """Deletes the tables of this process's sessions; those of a session that has ended already stay."""
+    for spark, path in _written:
+        with contextlib.suppress(Exception):
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+atexit.register(_remove_written)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder named in spark.checkpoint.dir. A local session that names none gets a temporary one; on a cluster,
+    where machines do not see each other's folders, that is an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     known = context._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         known = context._jsc.sc().getCheckpointDir()
     return known.get()
@@ -53,8 +72,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Iterative operators call this once per round. A lost executor re-reads a file instead of replaying
     the rounds before, and the planner sees real sizes: a checkpointed frame would keep the estimates
-    of its plan, which multiply from join to join and from round to round.
+    of its plan, which multiply from join to join and from round to round. The tables are deleted when the process ends.
     """
     path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    _written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from folioscope.operators import access as A
+from folioscope.operators import search as S
 from folioscope.operators import tree as T
 
 TREE = [("root", None), ("mid", "root"), ("leaf", "mid"), ("other", "root"), ("solo", None)]
@@ -114,3 +115,34 @@ def test_redaction(rows):
     own = rows("page_id int, source_id int, title string", (2, 2, "mine"))
     got = {r["chunk_id"]: (r["title"], r["body"]) for r in A.redact_metadata(chunks, bridge, rows("source_id int", (1,), (2,)), own).collect()}
     assert got == {1: ("T1", "b"), 2: ("mine", ""), 3: ("Untitled", "")}
+
+
+def test_a_restriction_holds_however_deep_a_page_lies(spark):
+    pages = spark.range(1, 106).selectExpr("id as page_id", "nullif(id - 1, 0) as parent_id", "cast(null as string) as deleted_at")
+    access = spark.createDataFrame([(1,)], "page_id long")
+    grants = spark.createDataFrame([(1, "known", True)], "page_id long, user_id string, can_write boolean")
+    assert A.visible_pages(pages, access, grants, "stranger").count() == 0
+    assert A.visible_pages(pages, access, grants, "known").count() == 105
+
+
+def test_walks_end_in_circles(rows):
+    pages = rows("page_id int, parent_id int, deleted_at string", (1, 3, None), (2, 1, None), (3, 2, None), (4, 3, None), (5, 5, None))
+    up = T.ancestors(pages, pages.select("page_id"))
+    assert sorted(r["ancestor_id"] for r in up.filter("page_id = 4").collect()) == [1, 2, 3, 4]
+    assert up.filter("page_id = 1").count() == 3 and up.filter("page_id = 5").count() == 1
+    down = T.descendants(pages, rows("page_id int", (1,)))
+    assert sorted(r["page_id"] for r in down.collect()) == [1, 2, 3, 4]
+
+
+def test_search_ranks_what_the_reader_may_see(rows):
+    pages = rows(
+        "page_id int, title string, text string, space_id string, deleted_at string, creator_id int, updated_at int",
+        *[(i, "t", "fährt über morgen die Brücke", "s", None, 1, i) for i in range(700)], (900, "知识图谱", "x", "s", None, 2, 5), (901, "a", "world, hello", "s", None, 2, 6),
+    )
+    seen = pages.filter("page_id >= 650").select("page_id")
+    got = S.search_pages(pages, "über die", seen, limit=10).collect()
+    assert len(got) == 10 and {r["total"] for r in got} == {50} and min(r["page_id"] for r in got) == 650
+    ids = lambda q, **kw: sorted(r["page_id"] for r in S.search_pages(pages, q, pages.select("page_id"), limit=1000, **kw).collect())
+    assert ids("world, hello") == ids("hello world") == [901] and ids("知识图") == [900] and ids(" ") == []
+    assert len(ids("über b", creator_id=1, modified_from=10, modified_to=20)) == 10
+    assert ids("hello", titles_only=True) == [] and ids("hello", page_ids=rows("page_id int", (3,))) == []

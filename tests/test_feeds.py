@@ -157,8 +157,8 @@ def test_samples_are_repeatable_and_quotas_add_up(spark):
     assert sorted(r["k"] for r in got.collect()) == sorted(r["k"] for r in D.sample_stratified(df.repartition(7), "k", "s", 33, 5).collect())
 
 
-def test_merge_flags_artifacts_over_budget_and_keeps_their_pieces(rows):
+def test_merge_flags_artifacts_over_budget_and_keeps_their_text(rows):
     df = rows("artifact_id int, source_id int, title string, text string", (1, 2, "two", "b"), (1, 1, "one", "a"), (1, 3, "x", "a"), *[(2, i, "t", f"p{i}") for i in range(9)])
     got = {r["artifact_id"]: (r["title"], r["text"], r["over_budget"]) for r in V.merge_contributions(df, budget=5).collect()}
-    assert got == {1: ("one", "a\n\nb", False), 2: ("t", None, True)}
+    assert got == {1: ("one", "a\n\nb", False), 2: ("t", "\n\n".join(f"p{i}" for i in range(9)), True)}
     assert V.merged_pieces(df).filter("artifact_id = 2").count() == 9

@@ -39,10 +39,11 @@ def test_semantic_candidates(rows):
     assert got == {(1, 2): (9.2, "共享来源"), (1, 4): (round(1.5 / log(2) + 0.8, 3), "共同邻居")}
 
 
-def test_a_view_is_bounded(spark):
-    nodes = spark.range(G.MAX_NODES + 1).select(F.col("id").alias("page_id"), F.lit("entity").alias("page_type"))
-    with pytest.raises(ValueError):
-        G.semantic_candidates(nodes, None, None)
+def test_a_view_is_as_large_as_asked(spark):
+    pages = spark.range(12_000).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("stale_at"), F.col("id").alias("updated_at"))
+    owned = pages.select("page_id", F.lit(1).alias("source_id"))
+    readable = spark.range(1).select(F.lit(1).alias("source_id"))
+    assert G.graph_nodes(pages, owned, readable, 11_000).count() == 11_000
 
 
 def test_communities_of_two_cliques(spark):

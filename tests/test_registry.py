@@ -50,9 +50,12 @@ def test_keyset_pages_walk_a_table_once(spark):
     assert [r["c"] for r in back[-3:]] == seen[at - 3 : at]
 
 
-def test_offset_is_clamped(spark):
-    assert P.offset_page(spark.range(300), ["id"], 1, 999).count() == 100
-    assert P.offset_page(spark.range(300), ["id"], 0, 0).count() == 1
+def test_offset_pages_are_as_large_as_asked(spark):
+    assert P.offset_page(spark.range(300), ["id"], 1, 999).count() == 300
+    assert [r["id"] for r in P.offset_page(spark.range(300), ["id"], 2, 120).collect()] == list(range(120, 240))
+    for page, limit in ((0, 5), (1, 0)):
+        with pytest.raises(ValueError):
+            P.offset_page(spark.range(300), ["id"], page, limit)
 
 
 def test_global_rank_equals_the_sorted_position(spark):
