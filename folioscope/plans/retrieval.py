@@ -570,7 +570,7 @@ SEARCH_TOKENS = r"regexp_extract_all({0}, '[a-z0-9_./:\-]{{2,}}')"
 def _searchable(spark, sf):
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("page_id"), F.col("source").alias("title"), "text", F.col("lang").alias("space_id"),
-        F.when(F.col("lang") == "es", F.lit("1999")).alias("deleted_at"), (F.col("doc_id") % 7).alias("creator_id"), F.col("n_chars").alias("updated_at"),
+        F.when(F.col("lang") == "es", F.lit("1999")).alias("deleted_at"), (F.col("doc_id") % 2).alias("creator_id"), F.col("n_chars").alias("updated_at"),
     )
 
 
@@ -588,7 +588,7 @@ def search_pages(spark, sf):
     return SE.search_pages(_searchable(spark, sf), "über die", visible).select("page_id", "score", "title", "total")
 
 
-@plan(rf"""with d as ({SEARCH_DOCS} and lang = 'de' and doc_id % 7 = 3 and n_chars >= 200 and n_chars < 4000 and doc_id in (select doc_id from labels where quality = 1)), {SEARCH_HITS.replace("'uber die')", "'uber, die')")},
+@plan(rf"""with d as ({SEARCH_DOCS} and lang = 'de' and doc_id % 2 = 0 and n_chars >= 200 and n_chars < 40000 and doc_id in (select doc_id from labels where quality = 1)), {SEARCH_HITS.replace("'uber die')", "'uber, die')")},
 {ALLOWED}, a as (select * from r where page_id in (select chunk_id from allowed)), v as (select * from a order by score desc, page_id limit 50)
 select page_id, score, (select count(*) from a) as total from v""")
 def search_filters(spark, sf):
@@ -596,7 +596,7 @@ def search_filters(spark, sf):
     visible = _allowed(spark, sf).withColumnRenamed("chunk_id", "page_id")
     labelled = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("page_id"))
     found = SE.search_pages(
-        _searchable(spark, sf), "Über, die", visible, space_id="de", creator_id=3, modified_from=200, modified_to=4000, page_ids=labelled
+        _searchable(spark, sf), "Über, die", visible, space_id="de", creator_id=0, modified_from=200, modified_to=40000, page_ids=labelled
     )
     return found.select("page_id", "score", "total")
 
