@@ -111,15 +111,27 @@ def visible_counts(pages: DataFrame, access: DataFrame, grants: DataFrame, users
     )
 
 
-def users_with_access(pages: DataFrame, access: DataFrame, grants: DataFrame, ids: DataFrame) -> DataFrame:
-    """(page_id, user_id) for restricted pages among `ids`; a page outside all zones is open to all."""
+def users_with_access(
+    pages: DataFrame, access: DataFrame, grants: DataFrame, ids: DataFrame, users: DataFrame | None = None
+) -> DataFrame:
+    """(page_id, user_id) for the pages `ids`, among `users` if given.
+
+    With users, a page outside all zones is open to each of them; without, only restricted pages have rows, as an open
+    page has no list of readers. Give the pages and users that are asked for: the rows are their pairs.
+    """
     zoned = zones(pages, access)
-    return (
-        ids.select("page_id")
-        .join(zoned.select("page_id", "zone"), "page_id")
-        .join(passing(restriction_chain(pages, access, zoned), grants), "zone")
-        .select("page_id", "user_id")
-    )
+    asked = ids.select("page_id").distinct().join(zoned.select("page_id", "zone"), "page_id", "left")
+    opened = passing(restriction_chain(pages, access, zoned), grants).select("zone", "user_id")
+    if users is None:
+        return asked.join(opened, "zone").select("page_id", "user_id")
+    users = users.select("user_id").distinct()
+    # An open page is given the zone of everybody, so one join finds the readers of all pages.
+    everybody = users.select(F.lit(True).alias("_open"), F.lit(None).cast(zoned.schema["zone"].dataType).alias("zone"), "user_id")
+    readers = opened.join(users, "user_id", "left_semi").select(F.lit(False).alias("_open"), "zone", "user_id").unionByName(everybody)
+    asked = asked.withColumn("_open", F.col("zone").isNull())
+    return asked.alias("a").join(
+        readers.alias("r"), (F.col("a._open") == F.col("r._open")) & F.col("a.zone").eqNullSafe(F.col("r.zone"))
+    ).select("page_id", "user_id")
 
 
 def restricted_subtree(pages: DataFrame, access: DataFrame, roots: DataFrame) -> DataFrame:

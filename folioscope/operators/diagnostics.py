@@ -119,14 +119,22 @@ def image_failures(images: DataFrame) -> DataFrame:
 def p95(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Nearest-rank 95th percentile per key.
 
-    Counts per distinct value come first: the percentile then walks over distinct values, not rows.
+    Counts per distinct value come first. A sketch deals the values of a key to a hundred ranges, whose sums show the one
+    that holds the place; only its values are put in order, so no task orders all values of a key.
     """
     from pyspark.sql.window import Window
 
     counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = counts.groupBy(key).agg(F.ceil(F.sum("n") * 0.95).alias("place"))
-    reached = counts.withColumn("upto", F.sum("n").over(order)).join(total, key).filter(F.col("upto") >= F.col("place"))
+    edges = counts.groupBy(key).agg(
+        F.percentile_approx(value, [k / 100 for k in range(1, 100)], 1000).alias("edges"), F.ceil(F.sum("n") * 0.95).alias("place")
+    )
+    dealt = counts.join(edges.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
+    dealt = dealt.withColumn("part", F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges", "_key")
+    upto = lambda *order: Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = dealt.groupBy(key, "place", "part").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto("part")))
+    holds = parts.filter(F.col("upto") >= F.col("place")).groupBy(key).agg(F.min_by(F.struct("part", (F.col("upto") - F.col("n")).alias("before")), "part").alias("held"))
+    inside = dealt.join(holds.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("part") == F.col("held.part")))
+    reached = inside.withColumn("upto", F.col("held.before") + F.sum("n").over(upto(value))).filter(F.col("upto") >= F.col("place"))
     return reached.groupBy(key).agg(F.min(value).alias("p95"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import answer_tokens, normalize_answer, strip_notice
-from folioscope.operators.paging import latest_per_key
+from folioscope.operators.paging import first_per_key, latest_per_key
 
 KS = (2, 5, 10, 20)
 # What each metric family needs, and the answers that mean no answer was produced.
@@ -300,10 +300,11 @@ def samples_ranked_by(metrics: DataFrame, samples: DataFrame, metric: str, worst
 
 
 def compare_runs(summary: DataFrame, counts: list[str]) -> DataFrame:
-    """summary(run, dataset, metric, mean): difference to the first run, in points or raw for counts."""
-    base = latest_per_key(
-        summary.withColumn("_order", -F.col("run")), ["dataset", "metric"], ["_order"], ["mean"]
-    ).withColumnRenamed("mean", "base")
+    """summary(run, dataset, metric, mean): difference to the first run, in points or raw for counts.
+
+    The first run is the smallest, be runs numbers or texts.
+    """
+    base = first_per_key(summary, ["dataset", "metric"], ["run"], ["mean"]).withColumnRenamed("mean", "base")
     scale = F.when(F.col("metric").isin(counts), 1.0).otherwise(100.0)
     return summary.join(base, ["dataset", "metric"], "left").select(
         "run", "dataset", "metric", "mean", ((F.col("mean") - F.col("base")) * scale).alias("delta")

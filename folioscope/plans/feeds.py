@@ -22,7 +22,10 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there and reads its result back from the shared checkpoint folder."""
+    """Runs a stream over what is there and reads its result back from the shared checkpoint folder.
+
+    Rows of an append stream add up; the last batch of a complete one holds the whole result and replaces it.
+    """
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
@@ -46,11 +49,17 @@ def stream_hourly(spark, sf):
     return out.select(F.date_format(F.col("start").cast("timestamp_ntz"), "yyyy-MM-dd HH").alias("hour"), "pv")
 
 
-@plan("select strftime(day, '%Y-%m-%d') as day from (select unnest(generate_series((select min((ts + interval 8 hour)::date) from events), (select max((ts + interval 8 hour)::date) + 6 from events), interval 1 day)) as day)")
+@plan("""with d as (select distinct user_id, (ts + interval 8 hour)::date as day from events),
+w as (select day + i::int as day, count(distinct user_id) as active from d, range(7) t(i) group by 1)
+select strftime(day, '%Y-%m-%d') as day, active, true as close from w""")
 def stream_weekly_active(spark, sf):
-    """Days with a trailing 7-day count; the counts are sketches, so only the days are compared."""
+    """Days with the exact trailing 7-day count of users, and whether the stream's sketch is within a tenth or two of it."""
     out = _run(ST.stream_sliding(_stream(spark, sf), 7), "complete")
-    return out.filter("active > 0").select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    local = F.to_date(F.col("ts").cast("timestamp_ntz") + F.expr("interval 8 hours"))
+    exact = table(spark, sf, "events").select("user_id", local.alias("day")).distinct()
+    exact = exact.select("user_id", F.explode(F.sequence("day", F.date_add("day", 6))).alias("day")).groupBy("day").agg(F.count_distinct("user_id").alias("exact"))
+    close = F.abs(F.col("active") - F.col("exact")) <= F.greatest(F.lit(2.0), F.col("exact") * 0.1)
+    return out.join(exact, "day", "full").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("exact").alias("active"), F.coalesce(close, F.lit(False)).alias("close"))
 
 
 SESSIONS = """k as (select (props->>'$.k')::bigint as page_id, ts from events), g as (select *, case when ts - lag(ts) over w <= interval 2 hour then 0 else 1 end as fresh from k window w as (partition by page_id order by ts)),
@@ -68,10 +77,11 @@ def debounce_sessions(spark, sf):
     return _shown(ST.debounce(S.page_events(spark, sf), "2 hours"), "first_changed", "last_changed", "eligible_at")
 
 
-@plan(f"with {SESSIONS} select {SESSION_COLUMNS} from sessions")
+@plan(f"with {SESSIONS} select {SESSION_COLUMNS} from sessions where eligible_at <= (select max(ts) from events) - interval 1 hour")
 def stream_debounce(spark, sf):
+    """Sessions that the watermark has closed; the state keeps only those still open."""
     changes = _stream(spark, sf).withColumn("page_id", F.get_json_object("props", "$.k").cast("long"))
-    return _shown(_run(ST.debounce(changes, "2 hours"), "complete"), "first_changed", "last_changed", "eligible_at")
+    return _shown(_run(ST.debounce(changes, "2 hours"), "append"), "first_changed", "last_changed", "eligible_at")
 
 
 @plan("select user_id, event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_visited_at from events group by 1, 2")

@@ -41,7 +41,7 @@ def stream_sliding(events: DataFrame, days: int, late: str = "1 day", offset: st
     timed = events.withColumn("at", _instant("ts")).withWatermark("at", late)
     window = F.window("at", f"{days} days", "1 day", offset)
     return timed.groupBy(window.alias("w")).agg(F.approx_count_distinct("user_id", 0.02).alias("active")).select(
-        F.date_sub(F.to_date(F.expr("w.end + interval 8 hours")), 1).alias("day"), "active"
+        F.date_sub(F.to_date(F.expr(f"w.end + interval 24 hours - interval {offset}")), 1).alias("day"), "active"
     )
 
 
