@@ -342,7 +342,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     names = base.schema["doc"].dataType.simpleString()
     routed = base.mapInArrow(route(model), "slice long, shard long, keys binary, owners binary, held binary")
     place = F.when(F.col("shard") < 0, F.hash("slice")).otherwise(F.hash("shard"))
-    answered = routed.repartition(place).sortWithinPartitions("shard").mapInArrow(answer(model), "slice long, head binary, sums binary")
+    answered = routed.repartition(2 * model.shards, place).sortWithinPartitions("shard").mapInArrow(answer(model), "slice long, head binary, sums binary")
     scored = answered.repartition("slice").sortWithinPartitions("slice").mapInArrow(
         gather, f"doc {names}, held boolean, n_tokens long, n_known long, base_score double, score double"
     )
