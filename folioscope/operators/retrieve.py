@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.functions.text import normalize_title, query_terms, trigrams
+from folioscope.functions.text import han_bigrams, latin_terms, normalize_title, query_terms, trigrams
 from folioscope.operators.paging import top_per_key
 from folioscope.session import cut_lineage
 
@@ -64,13 +64,17 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
     Only rare terms are joined through the term table, so the fan-out of a term is at most 5% of the
     chunks and frequent words never meet in a join. All terms, common ones too, count in the
-    tie-breaking density, which is read from the text of the few candidates.
+    tie-breaking density: the share of a chunk's words that are terms of the query.
     """
-    query_rows = with_terms(queries).select("query_id", "terms")
-    exploded = query_rows.select("query_id", F.explode("terms").alias("term"))
-    # one pass over the texts: the part of the term table that the queries touch is kept as files
+    exploded = with_terms(queries).select("query_id", F.explode("terms").alias("term"))
+    # One pass over the texts: of the words that queries ask for, how often each stands in a chunk, kept as files.
+    lower = F.lower("text")
+    counted = lambda words, one: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(one).alias("tf")))
+    words = chunks.select("chunk_id", latin_terms(lower).alias("latin"), F.array_distinct(han_bigrams(lower)).alias("han"))
     held = cut_lineage(
-        with_terms(chunks).select("chunk_id", F.explode("terms").alias("term")).join(exploded.select("term").distinct(), "term", "left_semi")
+        words.select("chunk_id", F.size("latin").alias("words"), F.inline(F.concat(counted("latin", 1), counted("han", 0))))
+        .join(exploded.select("term").distinct(), "term", "left_semi")
+        .groupBy("chunk_id", "term", "words").agg(F.sum("tf").alias("tf"))
     )
     classes = term_classes(exploded, held, chunks.agg(F.count("*").alias("total")))
     rare = classes.filter(~F.col("common"))
@@ -83,13 +87,8 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         .join(needed, "query_id")
         .filter(F.col("coverage") >= F.col("needed"))
     )
-    # texts are read again for candidates only, and tokens are made after the join
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_./:\-]{2,})"), F.lit(1))
-    dense = (
-        hits.join(chunks.select("chunk_id", "text"), "chunk_id")
-        .join(query_rows, "query_id")
-        .withColumn("tokens", tokens)
-        .withColumn("r", F.size(F.filter("tokens", lambda t: F.array_contains("terms", t))) / F.greatest(F.size("tokens"), F.lit(1)))
+    dense = hits.join(exploded, "query_id").join(held, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(
+        F.first("coverage").alias("coverage"), (F.sum("tf") / F.greatest(F.max("words"), F.lit(1))).alias("r")
     )
     scored = dense.select(
         "query_id", "chunk_id", "coverage", (F.col("coverage") + F.col("r") / (F.col("r") + 1)).alias("score")
