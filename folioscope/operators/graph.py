@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from folioscope.functions.text import excerpt, section_title
 from folioscope.operators.access import all_sources_allowed
+from folioscope.operators.paging import global_rank
 from folioscope.session import cut_lineage
 
 DEFAULT_NODES = 3000
@@ -25,11 +26,11 @@ TYPE_AFFINITY = {
 }
 
 
-def graph_nodes(pages: DataFrame, page_sources: DataFrame, readable: DataFrame, limit: int = DEFAULT_NODES) -> DataFrame:
-    """Newest live pages of the view whose sources are all readable; the limit is the size of the view."""
+def graph_nodes(pages: DataFrame, page_sources: DataFrame, readable: DataFrame, limit: int | None = DEFAULT_NODES) -> DataFrame:
+    """Newest live pages whose sources are all readable, as many as the view has room for; without limit, the whole graph."""
     allowed = all_sources_allowed(page_sources, readable.select("source_id", F.lit(True).alias("allowed")), "page_id")
     live = pages.filter(F.col("stale_at").isNull()).join(allowed, "page_id", "left_semi")
-    return live.orderBy(F.desc("updated_at"), F.asc("page_id")).limit(limit)
+    return live if limit is None else live.orderBy(F.desc("updated_at"), F.asc("page_id")).limit(limit)
 
 
 def graph_edges(links: DataFrame, nodes: DataFrame, allowed_links: DataFrame) -> DataFrame:
@@ -43,10 +44,10 @@ def graph_edges(links: DataFrame, nodes: DataFrame, allowed_links: DataFrame) ->
     )
 
 
-def graph_sections(sections: DataFrame, nodes: DataFrame, limit: int = DEFAULT_NODES) -> DataFrame:
-    """Sections of the nodes, up to eight times the size of the view, with a title and an excerpt."""
+def graph_sections(sections: DataFrame, nodes: DataFrame, limit: int | None = DEFAULT_NODES) -> DataFrame:
+    """Sections of the nodes, up to eight times the size of the view if it has one, with a title and an excerpt."""
     rows = sections.join(nodes.select("page_id", F.col("title").alias("page_title")), "page_id")
-    cut = rows.orderBy("page_id", "section_no").limit(limit * SECTIONS_PER_NODE)
+    cut = rows if limit is None else rows.orderBy("page_id", "section_no").limit(limit * SECTIONS_PER_NODE)
     heading = F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit(""))
     return cut.select(
         "page_id", "section_no",
@@ -256,8 +257,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: in
 def _numbered(placed: DataFrame) -> DataFrame:
     """Communities counted from 1 by size, largest first, then by smallest member."""
     sizes = placed.groupBy("community").agg(F.count("*").alias("size"), F.min("node").alias("first"))
-    number = F.row_number().over(Window.orderBy(F.desc("size"), "first"))
-    named = sizes.withColumn("name", F.concat(F.lit("community-"), number))
+    named = global_rank(sizes, [F.desc("size"), F.asc("first")]).withColumn("name", F.concat(F.lit("community-"), "place"))
     return placed.join(named, "community").select("node", F.col("name").alias("community"), "size")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import graph as G
 from folioscope.plans.registry import plan, table
+from folioscope.session import cut_lineage
 
 KINDS = {"ECONOMY": "entity", "STANDARD": "concept", "PROMO": "source_summary"}
 
@@ -44,7 +45,7 @@ NODES = """newest as (select l_partkey, max(l_shipdate) as updated_at from linei
 owned as (select distinct l_partkey as page_id, l_orderkey as source_id from lineitem where l_returnflag = 'A'),
 good as (select page_id from owned group by 1 having bool_and(source_id in (select o_orderkey from orders where o_totalprice > 12000))),
 nodes as (select p_partkey as page_id, case p_type when 'ECONOMY' then 'entity' when 'STANDARD' then 'concept' when 'PROMO' then 'source_summary' else 'comparison' end as page_type
- from part join newest on l_partkey = p_partkey where p_partkey in (select page_id from good) order by updated_at desc, p_partkey limit 3000),
+ from part join newest on l_partkey = p_partkey where p_partkey in (select page_id from good)),
 edges as (select l_orderkey || '.' || l_linenumber || '.' || l_partkey as link_id, l_partkey as from_id, l_suppkey * 7 + l_linenumber as to_id from lineitem where l_quantity > 46 and l_returnflag <> 'N'
  and l_partkey in (select page_id from nodes) and l_suppkey * 7 + l_linenumber in (select page_id from nodes)),
 around as (select from_id as node, to_id as other from edges where from_id <> to_id union select to_id, from_id from edges where from_id <> to_id),
@@ -52,7 +53,7 @@ deg as (select node, count(*) as degree from around group by 1)"""
 
 
 def _view(spark, sf):
-    nodes = G.graph_nodes(_pages(spark, sf), _owned(spark, sf), _readable(spark, sf))
+    nodes = G.graph_nodes(_pages(spark, sf), _owned(spark, sf), _readable(spark, sf), None)
     links = _links(spark, sf)
     return nodes, G.graph_edges(links, nodes, links.select("link_id"))
 
@@ -110,6 +111,21 @@ def communities(spark, sf):
     return G.communities(nodes, weighted)
 
 
+@plan(f"with {NODES} select count(*) as nodes, true as once, true as sizes, true as better from nodes")
+def communities_hold(spark, sf):
+    """What every division into communities must keep: all nodes once, true sizes, a modularity not below that of single nodes."""
+    nodes, edges = _view(spark, sf)
+    weighted = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.lit(1.0).alias("weight")).filter("a <> b")
+    found = cut_lineage(G.communities(nodes, weighted))
+    alone = nodes.select(F.col("page_id").alias("node"), F.col("page_id").alias("community"))
+    better = G.modularity(found, weighted) >= G.modularity(alone, weighted)
+    sizes = found.groupBy("community").agg(F.max("size").alias("told"), F.min("size").alias("least"), F.count("*").alias("n"))
+    right = sizes.agg(F.coalesce(F.bool_and((F.col("told") == F.col("n")) & (F.col("least") == F.col("n"))), F.lit(True)).alias("ok"))
+    return found.agg(
+        F.count("*").alias("nodes"), (F.count("*") == F.count_distinct("node")).alias("once"), right.scalar().alias("sizes"), F.lit(better).alias("better")
+    )
+
+
 @plan(f"""with {NODES}, f as (select node, bool_or(p.p_brand <> q.p_brand) as bridge from around join part p on p.p_partkey = node join part q on q.p_partkey = other group by 1)
 select page_id as node, f.node is null as isolated, coalesce(bridge, false) as bridge from nodes left join f on f.node = page_id""")
 def graph_insights(spark, sf):
@@ -118,15 +134,15 @@ def graph_insights(spark, sf):
     return G.graph_insights(nodes, edges, brands)
 
 
-@plan(r"""with n as (select doc_id as page_id, source as title, text from documents where lang <> 'es' order by n_chars desc, doc_id limit 3000),
+@plan(r"""with n as (select doc_id as page_id, source as title, text from documents where lang <> 'es'),
 s as (select *, trim(regexp_replace(regexp_replace(regexp_replace(text, '^\s*#{1,6}\s+', ''), '[`*_>\[\]]', '', 'g'), '\s+', ' ', 'g')) as flat, trim(regexp_replace(text, '\s+', ' ', 'g')) as squashed from n),
 t as (select *, trim(regexp_extract(flat, '^([^。！？.!?]*)', 1)) as sentence from s)
 select page_id, case when sentence <> '' then case when length(sentence) > 32 then substr(sentence, 1, 31) || '…' else sentence end else title || ' · 内容' end as title,
  case when length(squashed) > 180 then substr(squashed, 1, 177) || '…' else squashed end as excerpt from t""")
 def graph_sections(spark, sf):
     docs = table(spark, sf, "documents").filter(F.col("lang") != "es")
-    nodes = docs.orderBy(F.desc("n_chars"), "doc_id").limit(G.DEFAULT_NODES).select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"))
+    nodes = docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"))
     sections = docs.select(
         F.col("doc_id").alias("page_id"), F.lit(0).alias("section_no"), F.array().cast("array<string>").alias("heading_path"), "text"
     )
-    return G.graph_sections(sections, nodes).select("page_id", "title", "excerpt")
+    return G.graph_sections(sections, nodes, None).select("page_id", "title", "excerpt")
