@@ -252,11 +252,11 @@ def head_bytes(batch: pa.RecordBatch) -> bytes:
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """Runs of rows with one key; a run is held whole."""
+    """Runs of rows with one key; a run is held whole. Rows with a negative key come one by one."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and row[key] != held[0][key]:
+            if held and (row[key] != held[0][key] or row[key] < 0):
                 yield held
                 held = []
             held.append(row)
