@@ -44,18 +44,18 @@ def common_words(hits: Column, language: Column) -> Column:
     return reduce(lambda rest, item: F.when(language == item[0], counts(item[1])).otherwise(rest), COMMON.items(), F.array().cast("array<int>"))
 
 
-def repeated_words(windows: Column, marked: Column) -> Column:
+def repeated_words(marked: Column) -> Column:
     """Words inside windows of three that the text holds twice or more.
 
-    `marked` holds (hash, place) of all windows in order of hash; equal neighbours are repeats. Their places in order give
-    the words covered: three for each window, fewer where the next one begins before its end.
+    `marked` holds (hash, place) of all windows in order of hash, none where no window repeats; equal neighbours are
+    repeats. Their places in order give the words covered: three for each window, fewer where the next one begins before
+    its end.
     """
     same = lambda m, k: F.coalesce(F.get(marked, k)["h"] == m["h"], F.lit(False))
     twice = F.filter(marked, lambda m, k: F.when(k > 0, same(m, k - 1)).otherwise(F.lit(False)) | same(m, k + 1))
     places = F.array_sort(F.transform(twice, lambda m: m["i"]))
     start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
-    covered = F.aggregate(places, start, lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")))["n"]
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(covered)
+    return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")))["n"]
 
 
 def measure(docs: DataFrame, text: str, language: str) -> DataFrame:
@@ -76,7 +76,7 @@ def measure(docs: DataFrame, text: str, language: str) -> DataFrame:
     return base.select(
         "row", "language", F.size("words").cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("windows"), F.col("marked")).cast("long").alias("n_repeat_words"),
+        repeated_words(F.col("marked")).cast("long").alias("n_repeat_words"),
         F.array(*classes).alias("classes"), common_words(F.col("hits"), F.col("language")).alias("common"),
         F.monotonically_increasing_id().alias("place"),
     )
