@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import clock
+from folioscope.operators import activity
 from folioscope.operators import paging as P
 from folioscope.plans import stage as S
 from folioscope.plans.registry import plan, table
-from folioscope.session import shared_folder
+from folioscope.session import scratch_folder
 from folioscope.sources import datasets as D
 from folioscope.sources import feeds as FE
 from folioscope.streaming import streams as ST
@@ -27,7 +27,7 @@ def _run(stream: DataFrame, mode: str) -> DataFrame:
     Rows of an append stream add up; the last batch of a complete one holds the whole result and replaces it.
     """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/data").start()
@@ -84,6 +84,26 @@ def stream_debounce(spark, sf):
     return _shown(_run(ST.debounce(changes, "2 hours"), "append"), "first_changed", "last_changed", "eligible_at")
 
 
+@plan("select strftime((ts + interval 8 hour)::date, '%Y-%m-%d') as day, count(*) as pv, count(distinct user_id) as uv from events group by 1")
+def recomputed_days(spark, sf):
+    """Daily counts without the events that come late, then the days of those written again."""
+    events = table(spark, sf, "events")
+    late = F.col("event_id") % 5 == 0
+    path = scratch_folder(spark, "days")
+    activity.daily_pv_uv(events.filter(~late)).write.partitionBy("day").parquet(path)
+    days = events.filter(late).select(F.to_date(clock.local_time(F.col("ts"), clock.ZONE)).alias("day"))
+    ST.recompute_days(events, days, path, clock.ZONE)
+    return spark.read.schema("pv long, uv long, day date").parquet(path).select(clock.day_text(F.col("day")).alias("day"), "pv", "uv")
+
+
+@plan("select o_orderkey, strftime(o_orderdate::date + (o_orderkey % 40)::int, '%Y-%m-%d') as due, date_diff('day', date '1995-01-01', o_orderdate::date + (o_orderkey % 40)::int) as days_on from orders")
+def due_days(spark, sf):
+    """Days added to a date and counted between two."""
+    due = clock.add_days(F.to_date("o_orderdate"), (F.col("o_orderkey") % 40).cast("int"))
+    counted = clock.diff_days(F.lit("1995-01-01").cast("date"), due).cast("long")
+    return table(spark, sf, "orders").select("o_orderkey", clock.day_text(due).alias("due"), counted.alias("days_on"))
+
+
 @plan("select user_id, event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_visited_at from events group by 1, 2")
 def stream_last_seen(spark, sf):
     return _shown(_run(ST.last_seen(_stream(spark, sf), ["user_id", "event_type"]), "complete"), "last_visited_at")

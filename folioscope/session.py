@@ -67,6 +67,13 @@ def shared_folder(spark: SparkSession) -> str:
     return known.get()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of `df` read back from a table written to the shared folder.
 
@@ -74,7 +81,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the rounds before, and the planner sees real sizes: a checkpointed frame would keep the estimates
     of its plan, which multiply from join to join and from round to round. The tables are deleted when the process ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    _written.append((df.sparkSession, path))
+    path = scratch_folder(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
