@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.session import cut_lineage, shared_folder
+from folioscope.session import cut_lineage, scratch_folder  # noqa: F401
 
 # The white space that separates words, for regular expressions and for trimming.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -77,6 +77,3 @@ def slices(batch: pa.RecordBatch, lengths: list[int], limit: int) -> Iterator[pa
 def checked_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """`df` with a broadcast hint if its counted rows are within the limit; else Spark joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df
-
-
-__all__ = [name for name in dir() if not name.startswith("_")] + ["shared_folder"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -15,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import each_text, packed, saved, shared_folder, slices
+from folioscope.llm.common import each_text, packed, saved, scratch_folder, slices
 from folioscope.llm.eliasfano import EliasFano, dump, encode, load, map_bytes, map_file, put_file
 
 END = b""  # no word is empty
@@ -334,7 +333,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     ends = base.agg(F.count("*").alias("rows"), F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0)).alias("taught")).first()
     if kinds >= 1 << 32:
         raise ValueError("word numbers have 32 bits")
-    folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "words")
     files = write_words(counts, max(1, -(-kinds // WORDS)), folder) if kinds else []
     tokens = total * ends["rows"] // max(1, ends["taught"])
     model = Model([tuple(f) for f in files], total, kinds, ends["taught"], share, max(1, -(-tokens // PAIRS)))

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import packed, shared_folder, text_of
+from folioscope.llm.common import packed, scratch_folder, text_of
 from folioscope.llm.spans import SPAN, find_spans, in_order
 
 BASE = ["assign", "access", "hex"]
@@ -37,8 +36,8 @@ def scan(text: Column) -> Column:
 
 
 def new_ledger(spark: SparkSession) -> str:
-    """A ledger folder of its own in the shared folder."""
-    return f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    """A ledger folder of its own in the shared folder, for this process."""
+    return scratch_folder(spark, "ledger")
 
 
 def read_ledger(spark: SparkSession, path: str, rules: str) -> DataFrame | None:

@@ -11,9 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import each_text, packed, shared_folder, text_of
+from folioscope.llm.common import each_text, packed, scratch_folder, text_of
 
-CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 # Pieces a worker remembers the counts of before it starts anew; bytes of text between two calls of the tokenizer.
 PIECES, ENCODE_BYTES = 400_000, 1 << 20
 # Only these ASCII blanks cut a text into pieces; other white space stays inside a piece.
@@ -131,7 +130,5 @@ def count_tokens(
 
 
 def new_cache(spark) -> str:
-    """A cache folder of its own in the shared folder."""
-    import uuid
-
-    return f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    """A cache folder of its own in the shared folder, for this process."""
+    return scratch_folder(spark, "tokens")
