@@ -20,17 +20,22 @@ ONE = np.uint64(1)
 CHUNK, STRIDE = 1 << 16, 8
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of the word shingles of a text; bits set in over half of the hashes."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """64-bit hashes of the word shingles of a text, in order."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of the word shingles of a text; bits set in over half of the hashes."""
+    hashes = shingle_hashes(text, shingle, seed)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255):  # sums of up to 255 bits fit a byte
         counts += np.unpackbits(hashes[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
@@ -192,12 +197,17 @@ def cluster(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: i
     return prints.join(named, F.col("print") == F.col("of")).select("doc", "tag", "print", "component_id", "keeper_tag")
 
 
-def drop_near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of `docs` without all but the smallest document id of each component; of repeated rows one stays."""
-    heads = cluster(docs, doc, text, **how).filter(F.col("doc").eqNullSafe(F.col("component_id")) & (F.col("tag") == F.col("keeper_tag")))
+def keep_heads(docs: DataFrame, clustered: DataFrame, doc: str, text: str) -> DataFrame:
+    """The rows of `docs` that name their component; of repeated rows one stays."""
+    heads = clustered.filter(F.col("doc").eqNullSafe(F.col("component_id")) & (F.col("tag") == F.col("keeper_tag")))
     keep = saved(heads.groupBy(F.col("doc").alias("of_doc"), F.col("tag").alias("of_tag")).agg(F.count("*").alias("rows")))
     base = packed(docs, doc=doc, text=text).withColumn("tag", row_tag("doc", "text"))
     kept = base.join(keep, F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("tag") == F.col("of_tag")), "left_semi")
     if keep.filter("rows > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc", "tag"])
     return unpacked(kept, docs)
+
+
+def drop_near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of `docs` without all but the smallest document id of each component; of repeated rows one stays."""
+    return keep_heads(docs, cluster(docs, doc, text, **how), doc, text)
