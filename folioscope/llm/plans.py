@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontam, licenses, lines, lm, mixing, pii, quality, secrets, simhash, tokens
+from folioscope.llm import decontam, licenses, lines, lm, mixing, pii, quality, secrets, simhash, tokens, whitening
 from folioscope.llm.common import sha_of_list, table
 from folioscope.llm.spans import count_of, listed
 
@@ -132,3 +132,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under a model of those not held out."""
     scored = lm.score_documents(table(spark, sf_dir, "documents"))
     return scored.select(F.col("doc").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their sixteen leading components, whitened."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.select("row.vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error")
