@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontam, licenses, lines, lm, mixing, pii, quality, secrets, simhash, tokens, whitening
+from folioscope.llm import decontam, licenses, lines, lm, mixing, pii, quality, secrets, simhash, spelling, tokens, whitening
 from folioscope.llm.common import sha_of_list, table
 from folioscope.llm.spans import count_of, listed
 
@@ -139,3 +139,28 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings on their sixteen leading components, whitened."""
     white = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return white.select("row.vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query(f"""
+with recursive steps as (select i, i as v, 0 as k from range(256) t(i) union all
+  select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from steps where k < 8),
+crc as (select list(v order by i) as t from steps where k = 8),
+runs as (select doc_id, run, count(*) as c from (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') as run from documents) group by all),
+bytes as (select *, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as h from runs),
+hashed as (select run, c, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: (position(h[2 * i + 1] in '0123456789ABCDEF') - 1) * 16 + position(h[2 * i + 2] in '0123456789ABCDEF') - 1),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) as h from bytes, crc),
+typed as (select case when h % 97 = 0 then run[1:h % len(run)] || run[h % len(run) + 2:] else run end as word, c from hashed),
+words as (select word, cast(sum(c) as bigint) as n from typed where length(word) >= 5 group by word having sum(c) >= 3),
+cut as (select word, n, i, word[1:i - 1] || word[i + 1:] as short from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as (
+  select a.word, b.word as near, b.n as m from cut a join cut b on a.short = b.short and a.i = b.i and a.word <> b.word
+  union select c.word, w.word, w.n from cut c join words w on w.word = c.short
+  union select w.word, c.word, c.n from cut c join words w on w.word = c.short),
+best as (select word, count(*) as n_near, arg_min(near, row(-m, near)) as form, max(m) as form_n from pairs group by word),
+known as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * w.n then form end as form, case when form_n >= 2 * w.n then form_n end as form_n from words w left join best b on b.word = w.word),
+chain as (select word, word as tip, 0 as k from known union all select c.word, k.form, c.k + 1 from chain c join known k on k.word = c.tip where k.form is not null)
+select k.word, k.n, k.n_near, k.form, k.form_n, r.root from known k join (select word, arg_max(tip, k) as root from chain group by word) r on r.word = k.word
+""")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some mistyped, with the word each is a variant of."""
+    return spelling.group_variants(spelling.word_counts(table(spark, sf_dir, "documents"), drop_every=97))
