@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontam, licenses, lines, lm, mixing, pii, quality, secrets, simhash, spelling, tokens, whitening
+from folioscope.llm import decontam, licenses, lines, lm, main_text, mixing, pii, quality, secrets, simhash, spelling, tokens, whitening
 from folioscope.llm.common import sha_of_list, table
 from folioscope.llm.spans import count_of, listed
 
@@ -141,6 +141,19 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.select("row.vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error")
 
 
+@query("""
+with a as (select page_id, url, regexp_extract(html, '<article>([\\s\\S]*)</article>', 1) as body from pages),
+b as (select page_id, url, list_transform(string_split(regexp_replace(replace(replace(body, '<br>', ' '), '<b>', ''), '</?(p|h1)>', chr(1), 'g'), chr(1)),
+    lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) as parts from a)
+select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) as text,
+  length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10))) as n_chars from b
+""")
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages. The SQL knows the one layout of the given tables; tests have others."""
+    found = main_text.extract_main(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
 @query(f"""
 with recursive steps as (select i, i as v, 0 as k from range(256) t(i) union all
   select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from steps where k < 8),
