@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from folioscope.llm import decontam, lines, mixing, plans, quality
 from tests.llm import brute
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_similar import slow_heads
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -140,7 +140,7 @@ def test_pipeline_against_plain_versions(spark, small, items):
     texts = {r["doc_id"]: r["text"] for r in small if judged[r["doc_id"]][2]}
     deduped = brute.dedup_lines(list(texts.items()))
     texts = {d: (t if n else texts[d]) for d, (_, n, t) in deduped.items() if not n or brute.words(t)}
-    heads = slow_components({d: slow_fingerprint(t) for d, t in texts.items()})
+    heads = slow_heads(texts)
     texts = {d: t for d, t in texts.items() if heads[d] == d}
     hits = brute.decontaminate(list(texts.items()), items)
     texts = {d: t for d, t in texts.items() if not hits[d][1]}
