@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import attribute as AT
 from folioscope.operators import diagnostics as D
 from folioscope.operators import evaluate as E
+from folioscope.operators import evidence as EV
 from folioscope.plans.registry import plan, table
 
 UNAVAILABLE = ["O"]
@@ -84,6 +85,71 @@ def metric_evidence(spark, sf):
     return out.withColumn("gain", F.round("gain", 6))
 
 
+DOCS_SQL = """firsts2 as (select l_orderkey as sample_id, doc_id, case when doc_id is null then l_partkey end as alone, min((l_linenumber, l_partkey, l_suppkey, l_extendedprice)) as pos from {0} left join p2d on page_id = l_partkey group by 1, 2, 3),
+listed as (select f.sample_id, f.doc_id, pos[2] as page, row_number() over (partition by f.sample_id order by pos, f.doc_id) as rank, gold.doc_id is not null as is_gold from firsts2 f left join gold on gold.sample_id = f.sample_id and gold.doc_id = f.doc_id)"""
+SHOWN = "rank || ':' || page || ':' || coalesce(doc_id, '?') || ':' || case when is_gold then 'gold' else '' end"
+
+
+def _shown(documents):
+    """Documents as text, to compare lists."""
+    cell = lambda d: F.concat_ws(":", d["rank"], d["page_id"], F.coalesce(d["doc_id"], F.lit("?")), F.when(d["is_gold"], "gold").otherwise(""))
+    return F.array_join(F.transform(documents, cell), ",")
+
+
+@plan(f"""with {RANKED}, {DOCS_SQL.format('lineitem')}, wanted as (select sample_id, count(*) as golds, string_agg(doc_id, ',' order by doc_id) as gold_ids from gold group by 1), ks as (select unnest([2, 5, 10, 20]) as k),
+per as (select w.sample_id, k, golds, gold_ids, count(l.rank) as shown, count(*) filter (where is_gold) as hits, min(rank) filter (where is_gold) as first, coalesce(sum(1 / log2(rank + 1)) filter (where is_gold), 0) as dcg,
+ coalesce(string_agg({SHOWN}, ',' order by rank), '') as documents from wanted w cross join (select k from ks union all select null) x left join listed l on l.sample_id = w.sample_id and (k is null or rank <= k) group by all),
+cells as (select *, list_sum(list_transform(range(1, least(golds, k) + 1), lambda r: 1 / log2(r + 1))) as ideal from per),
+out as (select sample_id, gold_ids, documents, k, unnest(case when k is null then ['mrr', 'retrieval_f1'] else ['precision', 'recall', 'hit', 'full_coverage', 'ndcg'] end) as metric,
+ unnest(case when k is null then [(hits > 0)::int, hits] else [hits, hits, hits, hits, dcg] end)::double as numerator, unnest(case when k is null then [first, (shown + golds) / 2] else [shown, golds, 1, golds, ideal] end)::double as denominator from cells)
+select sample_id, metric, k, gold_ids as gold_docs, documents, round(numerator, 6) as numerator, round(denominator, 6) as denominator,
+ round(case metric when 'hit' then (numerator > 0)::int when 'full_coverage' then (numerator = denominator)::int else case when denominator > 0 then numerator / denominator else 0 end end, 6) as value from out""")
+def retrieval_evidence(spark, sf):
+    """Values are worked out from the operands again in the SQL."""
+    out = EV.retrieval_evidence(_retrieved(spark, sf), _page_to_doc(spark, sf), _gold(spark, sf))
+    return out.select("sample_id", "metric", "k", F.array_join("gold_doc_ids", ",").alias("gold_docs"), _shown(F.col("documents")).alias("documents"), *[F.round(c, 6).alias(c) for c in ("numerator", "denominator", "value")])
+
+
+@plan(f"""with {RANKED}, cited as (select * from lineitem where l_quantity > 25), {DOCS_SQL.format('cited').replace('firsts2', 'firsts3').replace('listed', 'listed_c')}, {DOCS_SQL.format('lineitem')},
+ids as (select sample_id from listed union select sample_id from listed_c union select sample_id from gold), golds as (select sample_id, count(*) as golds from gold group by 1),
+c as (select sample_id, count(doc_id) as shown, count(*) filter (where is_gold) as hits, string_agg({SHOWN}, ',' order by rank) as documents from listed_c group by 1),
+r as (select sample_id, string_agg({SHOWN}, ',' order by rank) as retrieved from listed group by 1),
+u as (select sample_id, count(*) as n, count(*) filter (where is_gold) as ng, string_agg({SHOWN}, ',' order by rank) as d, coalesce(string_agg({SHOWN}, ',' order by rank) filter (where is_gold), '') as dg
+ from listed l where doc_id is not null and not exists (select 1 from listed_c c where c.sample_id = l.sample_id and c.doc_id = l.doc_id) group by 1),
+x as (select sample_id, min(l_orderkey::varchar || '/' || l_linenumber) as e, count(distinct l_partkey::varchar || l_orderkey || '/' || l_linenumber) as n_excerpts from ids join cited on l_orderkey = sample_id group by 1),
+out as (select ids.sample_id, coalesce(documents, '') as documents, coalesce(retrieved, '') as retrieved, coalesce(n_excerpts, 0) as n_excerpts, unnest(['citation_precision', 'citation_recall', 'uncited_count', 'uncited_gold_count']) as metric,
+ unnest([coalesce(hits, 0), coalesce(hits, 0), coalesce(n, 0), coalesce(ng, 0)])::double as numerator, unnest([coalesce(shown, 0), coalesce(golds, 0), null, null])::double as denominator, unnest([null, null, coalesce(d, ''), coalesce(dg, '')]) as difference
+ from ids left join c using (sample_id) left join r using (sample_id) left join u using (sample_id) left join golds using (sample_id) left join x using (sample_id))
+select *, round(case when denominator is null then numerator when denominator > 0 then numerator / denominator else 0 end, 6) as value from out""")
+def citation_evidence(spark, sf):
+    """Cited lines are those of more than 25 pieces; order and line number stand for the cited passage."""
+    line = table(spark, sf, "lineitem")
+    cited = F.col("l_quantity") > 25
+    position = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("position")
+    citations = line.filter(cited).select(F.col("l_orderkey").alias("sample_id"), position, F.col("l_partkey").alias("page_id"))
+    passages = line.filter(cited).select(F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("page_id"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("excerpt"))
+    out = EV.citation_evidence(citations, _retrieved(spark, sf), _gold(spark, sf), _page_to_doc(spark, sf), passages)
+    return out.select(
+        "sample_id", "metric", *[_shown(F.col(c)).alias(c) for c in ("documents", "retrieved", "difference")], F.size("excerpts").cast("long").alias("n_excerpts"),
+        "numerator", "denominator", F.round("value", 6).alias("value"),
+    )
+
+
+@plan(f"""with {RANKED}, sn as (select l_orderkey as sample_id, l_linenumber as position, l_suppkey as chunk_id, l_linestatus = 'F' as graph, p2d.doc_id, gold.doc_id as gold_id from lineitem left join p2d on page_id = l_partkey left join gold on gold.sample_id = l_orderkey and gold.doc_id = p2d.doc_id),
+shown as (select sample_id, position, min(chunk_id)::varchar as chunk_id, bool_or(graph) as graph, list_sort(list_distinct(coalesce(list(doc_id) filter (where doc_id is not null), []))) as docs, list_sort(list_distinct(coalesce(list(gold_id) filter (where gold_id is not null), []))) as golds from sn group by 1, 2),
+s as (select sample_id, string_agg(position || ':' || chunk_id || ':' || case when graph then 'graph' else '' end || ':' || array_to_string(docs, '+') || ':' || array_to_string(golds, '+'), ',' order by position) as snippets,
+ count(*) filter (where graph and len(golds) > 0) as gold_shown, len(list_distinct(flatten(list(golds) filter (where graph)))) as gg, len(list_distinct(flatten(list(docs) filter (where graph)))) as gd from shown group by 1),
+e as (select sample_id, string_agg(distinct gold_id, ',' order by gold_id) as exclusive, count(distinct gold_id) as ex from (select sample_id, gold_id, chunk_id from sn where gold_id is not null group by 1, 2, 3 having bool_and(graph)) group by 1),
+wanted as (select sample_id, count(*) as golds from gold group by 1),
+out as (select sample_id, coalesce(snippets, '') as snippets, coalesce(exclusive, '') as exclusive, unnest(['graph_neighbor_gold_snippets', 'graph_neighbor_precision', 'graph_exclusive_gold_share']) as metric,
+ unnest([gold_shown, coalesce(gg, 0), coalesce(ex, 0)])::double as numerator, unnest([null, coalesce(gd, 0), golds])::double as denominator from wanted left join s using (sample_id) left join e using (sample_id))
+select *, round(case when denominator is null then numerator when denominator > 0 then numerator / denominator else 0 end, 6) as value from out""")
+def graph_evidence(spark, sf):
+    out = EV.graph_evidence(_snippets(spark, sf), _gold(spark, sf), _page_to_doc(spark, sf))
+    cell = lambda s: F.concat_ws(":", s["position"], s["chunk_id"], F.when(s["is_graph"], "graph").otherwise(""), F.array_join(s["doc_ids"], "+"), F.array_join(s["gold_doc_ids"], "+"))
+    return out.select("sample_id", F.array_join(F.transform("snippets", cell), ",").alias("snippets"), F.array_join("exclusive_gold_doc_ids", ",").alias("exclusive"), "metric", "numerator", "denominator", F.round("value", 6).alias("value"))
+
+
 MODES = "modes as (select o_orderkey as sample_id, case o_orderpriority when '1-URGENT' then 'knowledge' when '2-HIGH' then 'knowledge' when '5-LOW' then null else 'general' end as answer_mode from orders)"
 
 
@@ -178,6 +244,19 @@ def answer_metrics(spark, sf):
     return E.answer_metrics(_predictions(spark, sf), _references(spark, sf)).withColumn("value", F.round("value", 6))
 
 
+@plan(f"""with {ANSWERS.replace("(a = b)::int::double as same", "(a = b) as same")}, places as (select sample_id, reference, unnest(a) as token, generate_subscripts(a, 1) - 1 as place, 'a' as side from pr union all select sample_id, reference, unnest(b), generate_subscripts(b, 1) - 1, 'b' from pr),
+nth as (select *, row_number() over (partition by sample_id, reference, side, token order by place) as n from places),
+al as (select x.sample_id, x.reference, string_agg(x.place || '=' || y.place || ':' || x.token, ' ' order by x.place) as shared_tokens, count(*) as shared from nth x join nth y on x.sample_id = y.sample_id and x.reference = y.reference and x.token = y.token and x.n = y.n and x.side = 'a' and y.side = 'b' group by 1, 2),
+ev as (select sample_id, reference, a = b as exact_match, len(a) as answer_tokens, len(b) as reference_tokens, coalesce(shared, 0) as shared, coalesce(shared_tokens, '') as shared_tokens from pr left join al using (sample_id, reference))
+select *, round(case when answer_tokens > 0 then shared / answer_tokens else 0 end, 6) as precision, round(case when reference_tokens > 0 then shared / reference_tokens else 0 end, 6) as recall,
+ round(case when answer_tokens = 0 or reference_tokens = 0 then (answer_tokens = reference_tokens)::int when shared = 0 then 0 else 2 * (shared / answer_tokens) * (shared / reference_tokens) / (shared / answer_tokens + shared / reference_tokens) end, 6) as f1 from ev""")
+def answer_evidence(spark, sf):
+    """Every comparison of an answer with a reference; f1 is the harmonic mean of precision and recall in the SQL."""
+    out = EV.answer_evidence(_predictions(spark, sf), _references(spark, sf))
+    cell = lambda t: F.concat(t["answer_at"], F.lit("="), t["reference_at"], F.lit(":"), t["token"])
+    return out.withColumn("shared_tokens", F.array_join(F.transform("shared_tokens", cell), " ")).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
 @plan(f"with {METRICS} select sample_id, metric, round(value, 6) as value from metrics join orders on o_orderkey = sample_id where o_orderstatus <> 'P'")
 def available_metrics(spark, sf):
     samples = table(spark, sf, "orders").select(
@@ -226,7 +305,7 @@ def _verdicts(spark, sf):
         .otherwise(F.to_json(F.struct((F.col("l_quantity") / 25 - 0.5).alias("similarity"))))
     )
     return line.select(
-        "l_orderkey", "l_suppkey", kind.alias("kind"), body.alias("verdict"), F.when(F.col("l_tax") > 0.07, "timeout").alias("error"), F.col("l_quantity").alias("latency_ms")
+        "l_orderkey", "l_linenumber", "l_suppkey", kind.alias("kind"), body.alias("verdict"), F.when(F.col("l_tax") > 0.07, "timeout").alias("error"), F.col("l_quantity").alias("latency_ms")
     )
 
 
@@ -240,6 +319,16 @@ def _judged(spark, sf):
     return _verdicts(spark, sf).withColumn("score", E.judge_score(F.col("kind"), F.col("verdict")))
 
 
+@plan("""with k as (select *, case when l_returnflag = 'A' then 'faithfulness' when l_returnflag = 'R' then 'context_relevancy' when l_linestatus = 'F' then 'answer_correctness' else 'answer_relevancy' end as kind from lineitem),
+o as (select l_orderkey, l_linenumber, kind, case when kind = 'answer_correctness' then case when l_quantity > 30 then 'correct' when l_quantity > 15 then 'partial' else 'unknown' end end as grade,
+ case kind when 'faithfulness' then case when l_linenumber > 1 then least(l_linenumber, 3) end when 'context_relevancy' then least(l_linenumber, 2) when 'answer_correctness' then case when l_quantity > 30 then 1 when l_quantity > 15 then 0.5 end else l_quantity / 25 - 0.5 end::double as numerator,
+ case kind when 'faithfulness' then case when l_linenumber > 1 then l_linenumber end when 'context_relevancy' then l_linenumber else 1 end::double as denominator from k)
+select l_orderkey, l_linenumber, kind, grade, round(numerator, 6) as numerator, denominator, case when numerator / denominator is not null then round(least(greatest(numerator / denominator, 0), 1), 6) end as value from o""")
+def judge_evidence(spark, sf):
+    out = EV.judge_evidence(_verdicts(spark, sf))
+    return out.select("l_orderkey", "l_linenumber", "kind", "grade", F.round("numerator", 6).alias("numerator"), "denominator", F.round("value", 6).alias("value"))
+
+
 @plan(f"with {JUDGED} select kind, round(avg(score), 6) as mean, count(score) as scored, count(*) as verdicts, round(count(error) / count(*), 6) as failure_rate, round(avg(latency_ms), 6) as latency from judged group by 1")
 def judge_summary(spark, sf):
     out = E.judge_summary(_judged(spark, sf), ["kind"])
