@@ -1,16 +1,15 @@
-"""Vector functions: cosine on arrays, and an exact top-k scan for a bounded block of queries."""
+"""Vector functions: cosine on arrays, and exact nearest chunks, block of queries by span of chunks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK = 2048
+# Queries and chunks that meet in one task.
+QUERY_BLOCK, CHUNK_SPAN = 2048, 1 << 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,66 +36,43 @@ def clamped_similarity(a: Column, b: Column) -> Column:
     return F.when(similarity.isNotNull(), F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0)))
 
 
-def _scan(block: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Best k chunks per query and task: one matrix product per Arrow batch, no shuffle of vectors."""
-    rows = block.collect()
-    spark = chunks.sparkSession
-    shipped = spark.sparkContext.broadcast(
-        (
-            np.array([r["query_id"] for r in rows]),
-            np.array([r["query_vec"] for r in rows], dtype=np.float64),
-        )
-    )
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, queries = shipped.value
-        if len(query_ids) == 0:
-            return
-        lengths = np.linalg.norm(queries, axis=1)
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            keep = batch["chunk_vec"].map(len) == queries.shape[1]
-            batch = batch[keep]
-            if batch.empty:
-                continue
-            vectors = np.stack(batch["chunk_vec"].to_numpy()).astype(np.float64)
-            scale = np.outer(lengths, np.linalg.norm(vectors, axis=1))
-            similarity = np.divide(queries @ vectors.T, scale, out=np.zeros_like(scale), where=scale > 0)
-            # partition keeps every row tied with the k-th, so the final order by id stays exact
-            width = min(k, similarity.shape[1])
-            edge = np.partition(similarity, similarity.shape[1] - width, axis=1)[:, similarity.shape[1] - width]
-            q, c = np.nonzero(similarity >= edge[:, None])
-            found = pd.DataFrame(
-                {"query_id": query_ids[q], "chunk_id": batch["chunk_id"].to_numpy()[c], "distance": 1.0 - similarity[q, c]}
-            )
-            held = found if held is None else pd.concat([held, found])
-            held = held.sort_values(["query_id", "distance", "chunk_id"]).groupby("query_id").head(k)
-        if held is not None:
-            yield held
-
-    query_type = block.schema["query_id"].dataType.simpleString()
-    chunk_type = chunks.schema["chunk_id"].dataType.simpleString()
-    return chunks.filter(F.col("chunk_vec").isNotNull()).select("chunk_id", "chunk_vec").mapInPandas(
-        best, f"query_id {query_type}, chunk_id {chunk_type}, distance double"
-    )
-
-
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def _nearest(queries: np.ndarray, chunks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, chunk, distance) of the k nearest chunks of each query and of all as near as the k-th: one matrix product."""
+    scale = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(chunks, axis=1))
+    similarity = np.divide(queries @ chunks.T, scale, out=np.zeros_like(scale), where=scale > 0)
+    width = min(k, similarity.shape[1])
+    edge = np.partition(similarity, similarity.shape[1] - width, axis=1)[:, similarity.shape[1] - width]
+    q, c = np.nonzero(similarity >= edge[:, None])
+    return q, c, 1.0 - similarity[q, c]
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = QUERY_BLOCK, span: int = CHUNK_SPAN) -> DataFrame:
     """Exact k nearest chunks per query by cosine distance.
 
-    `queries(query_id, query_vec)` is shipped to the tasks only while it holds at most `block` rows.
-    A larger set is hashed into passes of about half that size, and every pass scans the chunks once,
-    so memory stays bounded and the answer stays exact.
+    queries(query_id, query_vec) are hashed into blocks and chunks(chunk_id, chunk_vec) into spans; each block meets each
+    span in one task, by a matrix product, and only the k best of a task go on. So the plan is the same for ten queries and for
+    ten million, a task holds a block and a span, and nothing passes through the driver but the two counts. Rows without a vector,
+    and chunks of another length than the query's, have no distance.
     """
-    total = queries.limit(block + 1).count()
-    if total <= block:
-        passes = [queries]
-    else:
-        parts = -(-2 * queries.count() // block)
-        passes = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
-    out: DataFrame | None = None
-    for part in passes:
-        found = _scan(part, chunks, k)
-        out = found if out is None else out.unionByName(found)
+    asked, held = queries.filter(F.col("query_vec").isNotNull()), chunks.filter(F.col("chunk_vec").isNotNull())
+    blocks, spans = (max(1, -(-df.count() // size)) for df, size in ((asked, block), (held, span)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("query_id", "query_vec", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("span", every(spans))
+    right = held.select("chunk_id", "chunk_vec", F.pmod(F.xxhash64("chunk_id"), F.lit(spans)).cast("int").alias("span")).withColumn("block", every(blocks))
+
+    def best(these: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": these["query_id"][:0], "chunk_id": those["chunk_id"][:0], "distance": np.empty(0)})]
+        lengths = those["chunk_vec"].map(len)
+        for size, part in these.groupby(these["query_vec"].map(len)):
+            same = those[lengths == size]
+            if size and len(same):
+                vectors = (np.stack(v.to_numpy()).astype(np.float64) for v in (part["query_vec"], same["chunk_vec"]))
+                q, c, distance = _nearest(*vectors, k)
+                hits = pd.DataFrame({"query_id": part["query_id"].to_numpy()[q], "chunk_id": same["chunk_id"].to_numpy()[c], "distance": distance})
+                found.append(hits.sort_values(["query_id", "distance", "chunk_id"]).groupby("query_id").head(k))
+        return pd.concat(found[1:] or found)
+
+    types = (asked.schema["query_id"].dataType.simpleString(), held.schema["chunk_id"].dataType.simpleString())
+    found = left.groupBy("block", "span").cogroup(right.groupBy("block", "span")).applyInPandas(best, "query_id {}, chunk_id {}, distance double".format(*types))
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions.text import han_bigrams, latin_terms, normalize_title, query_terms, trigrams
+from folioscope.functions.vectors import dense_topk
 from folioscope.operators.paging import top_per_key
 from folioscope.session import cut_lineage
 
@@ -147,6 +148,44 @@ def rrf_fuse(lists: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
     return top_per_key(fused, ["query_id"], order, k)
 
 
+def recall_channels(
+    queries: DataFrame, query_vectors: DataFrame, channels: dict[str, tuple[DataFrame, DataFrame, DataFrame]], per_list: int, limit: int,
+    quotas: dict[str, int] | None = None,
+) -> DataFrame:
+    """Recall over several channels, each with candidate tables of its own, fused into one list of `limit` chunks per query.
+
+    queries(query_id, text), query_vectors(query_id, query_vec); a channel is chunks(chunk_id, text), titles(chunk_id, title) and
+    vectors(chunk_id, chunk_vec). Every channel gives a dense, a lexical and a title list of `per_list` chunks; document frequencies are those of
+    the channel. A chunk that several lists name is one row: (query_id, chunk_id, fused, channels, signals, distance, lexical_score, rank), with both
+    tag arrays sorted. `quotas`: so many of a channel's best chunks are sure of a place, the rest goes by fused score.
+    """
+    lists = []
+    for name, (chunks, titles, vectors) in channels.items():
+        found = [
+            as_list(dense_topk(query_vectors, vectors, per_list), "semantic", "distance"),
+            as_list(lexical_topk(queries, chunks, per_list), "lexical", "score"),
+            as_list(title_topk(queries, titles, per_list), "exact-title", "score"),
+        ]
+        lists += [rows.withColumn("channel", F.lit(name)) for rows in found]
+    of = lambda name, best: best(F.when(F.col("signal") == name, F.col("score")))
+    share = F.col("weight") / (F.lit(RRF_K) + F.col("position") + 1)
+    hits = recall_lists(*lists).groupBy("query_id", "chunk_id").agg(
+        F.round(F.sum(share), 12).alias("fused"), F.array_sort(F.collect_set("channel")).alias("channels"), F.array_sort(F.collect_set("signal")).alias("signals"),
+        of("semantic", F.min).alias("distance"), of("lexical", F.max).alias("lexical_score"),
+        *[F.round(F.sum(F.when(F.col("channel") == name, share)), 12).alias(f"in_{name}") for name in channels],
+    )
+    kinds = F.when(F.array_contains("signals", "exact-title"), 3).when(F.array_contains("signals", "semantic"), 2).otherwise(1)
+    ties = [F.desc(kinds), F.asc("chunk_id")]
+    sure = F.lit(False)
+    for name, quota in (quotas or {}).items():
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(f"in_{name}"), *ties))
+        hits = hits.withColumn(f"at_{name}", place)
+        sure = sure | (F.col(f"in_{name}").isNotNull() & (F.col(f"at_{name}") <= quota))
+    kept = top_per_key(hits.withColumn("sure", sure), ["query_id"], [F.desc("sure"), F.desc("fused"), *ties], limit).drop("rank")
+    order = Window.partitionBy("query_id").orderBy(F.desc("fused"), *ties)
+    return kept.select("query_id", "chunk_id", "fused", "channels", "signals", "distance", "lexical_score", F.row_number().over(order).alias("rank"))
+
+
 def relevant(max_distance: float = MAX_DISTANCE) -> Column:
     """Title hits and positive lexical hits pass; semantic ones must be close enough."""
     near = F.col("by_semantic") & F.coalesce(F.col("distance") <= max_distance, F.lit(True))

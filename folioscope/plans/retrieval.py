@@ -156,6 +156,50 @@ def rrf_fused(spark, sf):
     )
 
 
+TITLE_OF_PAGE = r"trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g'))"
+
+
+def _channel_sql(c: str) -> str:
+    """Lists of one channel over docs_<c> for the questions of `asked`."""
+    return f"""dt_{c} as (select chunk_id, unnest({TERMS.format('text')}) as term from docs_{c}), df_{c} as (select term, count(*) as df from dt_{c} group by 1),
+rare_{c} as (select query_id, term from qt left join df_{c} using (term) where coalesce(df, 0) <= (select greatest(20, ceil(count(*) * 0.05)) from docs_{c})),
+need_{c} as (select query_id, case when count(*) <= 2 then count(*) else floor(count(*) * 0.75) end as needed from rare_{c} group by 1),
+good_{c} as (select query_id, chunk_id, count(*) as coverage from rare_{c} join dt_{c} using (term) group by 1, 2),
+rs_{c} as (select query_id, chunk_id, coverage, len(list_filter({TOKENS.format('d.text')}, lambda t: list_contains({TERMS.format('a.text')}, t))) / greatest(len({TOKENS.format('d.text')}), 1) as r
+ from good_{c} join need_{c} using (query_id) join docs_{c} d using (chunk_id) join asked a using (query_id) where coverage >= needed),
+titles_{c} as (select chunk_id, regexp_replace(lower(trim(regexp_extract(text, '^[^\\n]*'))), '\\s+', ' ', 'g') as t from docs_{c}),
+lists_{c} as (select '{c}' as channel, * from (select query_id, chunk_id, 'lexical' as signal, coverage + r / (r + 1) as score, 0.8 as weight, row_number() over (partition by query_id order by coverage + r / (r + 1) desc, chunk_id) - 1 as position from rs_{c}
+ union all select query_id, chunk_id, 'exact-title', case when t = q then 1.0 else 0.5 end, 1.2, row_number() over (partition by query_id order by t = q desc, chunk_id) - 1 from (select query_id, lower(text) as q from asked) join titles_{c} on q <> '' and starts_with(t, q)
+ union all select q.vec_id, v.vec_id, 'semantic', list_cosine_distance(q.embedding::double[], v.embedding::double[]), 1.0, row_number() over (partition by q.vec_id order by list_cosine_distance(q.embedding::double[], v.embedding::double[]), v.vec_id) - 1
+  from embeddings q join asked on query_id = q.vec_id, embeddings v where v.vec_id in (select chunk_id from docs_{c})) where position < 20)"""
+
+
+@plan(f"""with asked as (select page_id as query_id, {TITLE_OF_PAGE} as text from pages), qt as (select query_id, unnest({TERMS.format('text')}) as term from asked),
+docs_evidence as (select doc_id as chunk_id, text from documents where lang = 'en'), docs_memory as (select doc_id as chunk_id, text from documents where doc_id in (select doc_id from labels)),
+{_channel_sql('evidence')}, {_channel_sql('memory')},
+hits as (select query_id, chunk_id, round(sum(weight / (61 + position)), 12) as fused, string_agg(distinct channel, ',' order by channel) as channels, string_agg(distinct signal, ',' order by signal) as signals,
+ round(sum(weight / (61 + position)) filter (where channel = 'evidence'), 12) as e, round(sum(weight / (61 + position)) filter (where channel = 'memory'), 12) as m, case when bool_or(signal = 'exact-title') then 3 when bool_or(signal = 'semantic') then 2 else 1 end as kind
+ from (select * from lists_evidence union all select * from lists_memory) group by 1, 2),
+placed as (select *, e is not null and row_number() over (partition by query_id order by e desc nulls last, kind desc, chunk_id) <= 4 or m is not null and row_number() over (partition by query_id order by m desc nulls last, kind desc, chunk_id) <= 2 as sure from hits),
+kept as (select * from placed qualify row_number() over (partition by query_id order by sure desc, fused desc, kind desc, chunk_id) <= 12)
+select query_id, chunk_id, round(fused, 8) as fused, channels, signals, row_number() over (partition by query_id order by fused desc, kind desc, chunk_id) as rank from kept""")
+def recall_channels(spark, sf):
+    """Titles of pages ask two channels: English documents are evidence, labelled ones memory."""
+    from folioscope.operators.chunks import page_titles
+
+    docs, vectors = _docs(spark, sf), _vectors(spark, sf)
+    asked = page_titles(table(spark, sf, "pages")).select(F.col("page_id").alias("query_id"), F.col("title").alias("text"))
+    asked_vectors = vectors.select(F.col("chunk_id").alias("query_id"), F.col("chunk_vec").alias("query_vec")).join(asked.select("query_id"), "query_id")
+    labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"))
+    tables = {"evidence": docs.filter(F.col("lang") == "en"), "memory": docs.join(labelled, "chunk_id", "left_semi")}
+    channels = {
+        name: (own, own.select("chunk_id", F.regexp_extract("text", r"^[^\n]*", 0).alias("title")), vectors.join(own.select("chunk_id"), "chunk_id", "left_semi"))
+        for name, own in tables.items()
+    }
+    out = R.recall_channels(asked, asked_vectors, channels, 20, 12, {"evidence": 4, "memory": 2})
+    return out.select("query_id", "chunk_id", F.round("fused", 8).alias("fused"), F.array_join("channels", ",").alias("channels"), F.array_join("signals", ",").alias("signals"), F.col("rank").cast("long").alias("rank"))
+
+
 @plan(f"with {FUSED}, {ALLOWED} select query_id, chunk_id, rank from fused where {RELEVANT.format(0.45)} and chunk_id in (select chunk_id from allowed)")
 def gated_authorized(spark, sf):
     return R.authorized(_fused(spark, sf).filter(R.relevant()), _allowed(spark, sf)).select("query_id", "chunk_id", "rank")

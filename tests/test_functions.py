@@ -89,8 +89,8 @@ def test_cosine(one):
     assert one(vectors.clamped_similarity, [1.0], [-1.0, 0.0]) is None
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_dense_topk_equals_brute_force_in_one_and_many_passes(spark, block):
+@pytest.mark.parametrize(("block", "span"), [(2048, 65536), (4, 65536), (4, 7)])
+def test_dense_topk_equals_brute_force_in_one_and_many_blocks(spark, block, span):
     import numpy as np
 
     rng = np.random.default_rng(5)
@@ -98,12 +98,16 @@ def test_dense_topk_equals_brute_force_in_one_and_many_passes(spark, block):
     chunks[7] = chunks[3]  # a tie at the edge
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(chunks)], "chunk_id long, chunk_vec array<double>").repartition(3)
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, query_vec array<double>")
-    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in vectors.dense_topk(q, c, 5, block).collect()}
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in vectors.dense_topk(q, c, 5, block, span).collect()}
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     distance = 1 - unit(queries) @ unit(chunks).T
     for i in range(11):
         order = sorted(range(60), key=lambda j: (round(distance[i, j], 12), j))[:5]
         assert [got[(i, n + 1)] for n in range(5)] == order
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0] * 8), (4, [])], "query_id long, query_vec array<double>")
+    hits = vectors.dense_topk(odd, c.union(spark.createDataFrame([(99, None)], c.schema)), 5, block, span).collect()
+    assert {r["query_id"] for r in hits} == {3} and [r["distance"] for r in hits] == [1.0] * 5
+    assert vectors.dense_topk(q.limit(0), c, 5).count() == vectors.dense_topk(q, c.limit(0), 5).count() == 0
 
 
 @pytest.mark.parametrize(

@@ -133,3 +133,24 @@ def test_window_recall_equals_a_sequential_pass(rows, k):
             chosen.append(c)
             graph += o == "graph"
     assert [r["chunk_id"] for r in got.collect()] == chosen
+
+
+def test_channels_are_fused_once_with_both_tags_and_quotas(rows):
+    queries = rows("query_id int, text string", (1, "red fox"))
+    vectors = rows("query_id int, query_vec array<double>", (1, [1.0, 0.0]))
+    chunk = "chunk_id string, text string"
+    title = "chunk_id string, title string"
+    vector = "chunk_id string, chunk_vec array<double>"
+    evidence = (
+        rows(chunk, ("a", "a red fox"), ("b", "blue"), ("both", "the red fox ran")), rows(title, ("a", "Red  Fox"), ("b", "Blue")),
+        rows(vector, ("a", [1.0, 0.1]), ("b", [0.9, 0.3]), ("both", [1.0, 0.0])),
+    )
+    memory = (rows(chunk, ("m", "grey"), ("both", "the red fox ran")), rows(title, ("m", "Other")), rows(vector, ("m", [0.0, 1.0]), ("both", [1.0, 0.0])))
+    found = R.recall_channels(queries, vectors, {"evidence": evidence, "memory": memory}, 10, 10).orderBy("rank").collect()
+    tags = {r["chunk_id"]: (r["channels"], r["signals"]) for r in found}
+    assert len(found) == len(tags) == 4
+    assert tags["both"] == (["evidence", "memory"], ["lexical", "semantic"]) and tags["a"] == (["evidence"], ["exact-title", "lexical", "semantic"])
+    assert [r["chunk_id"] for r in found] == ["both", "a", "m", "b"]
+    few = R.recall_channels(queries, vectors, {"evidence": evidence, "memory": memory}, 10, 3, {"evidence": 3})
+    assert [r["chunk_id"] for r in few.orderBy("rank").collect()] == ["both", "a", "b"]
+    assert R.recall_channels(queries.limit(0), vectors.limit(0), {"evidence": evidence}, 5, 5).count() == 0
