@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.provenance import replace_by_key
-from folioscope.session import cut_lineage
+from folioscope.sources.snapshots import Snapshots
 
 # Shape of a structured log line, and the routes a page view may carry.
 LOG_SCHEMA = (
@@ -14,7 +14,6 @@ LOG_SCHEMA = (
     "msg:string,req:struct<method:string,url:string>,res:struct<statusCode:int>,responseTime:double,"
     "err:struct<type:string,message:string,stack:string,statusCode:int>,pid:int,hostname:string>"
 )
-BUCKETS = 64
 
 
 def flatten_logs(lines: DataFrame) -> DataFrame:
@@ -60,47 +59,22 @@ def export_sources(pages: DataFrame, space_id, after_id=None, limit: int = 200)
     return rows.orderBy("page_id").limit(limit)
 
 
-def _folder(spark: SparkSession, path: str):
-    """Hadoop path and its file system, so that shared storage works like a local folder."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+def replace_in_table(new: DataFrame, touched: DataFrame, key: str, path: str) -> int:
+    """Replaces all rows of the touched keys in the table under `path`; see snapshots.py. Read it with `read_table`."""
+    return Snapshots(new.sparkSession, path, key).replace({"rows": new}, touched)
 
 
-def bucket_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def read_table(spark: SparkSession, path: str, key: str, name: str = "rows") -> DataFrame:
+    return Snapshots(spark, path, key).read(name)
 
 
-def replace_in_table(new: DataFrame, touched: DataFrame, key: str, path: str) -> None:
-    """Replaces all rows of the touched keys in a table that is partitioned by a hash of the key.
-
-    Only partitions with a touched key are read and written again. The merged rows are written to
-    the shared folder before the overwrite, so a lost executor never re-reads a partition that is being replaced.
-    """
-    spark = new.sparkSession
-    target, files = _folder(spark, path)
-    keys = touched.select(key).distinct().withColumn("bucket", bucket_of(F.col(key)))
-    fresh = new.withColumn("bucket", bucket_of(F.col(key)))
-    if not files.exists(target):
-        fresh.write.partitionBy("bucket").parquet(path)
-        return
-    buckets = [r["bucket"] for r in keys.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    held = spark.read.parquet(path).filter(F.col("bucket").isin(buckets))
-    merged = cut_lineage(held.join(keys.select(key), key, "left_anti").select(*fresh.columns).unionByName(fresh))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    left = {r["bucket"] for r in merged.select("bucket").distinct().collect()}
-    for number in set(buckets) - left:
-        files.delete(_folder(spark, f"{path}/bucket={number}")[0], True)
-
-
-def publish_chunks(artifacts: DataFrame, tables: dict[str, DataFrame], path: str) -> None:
-    """Publishes artifacts with their child tables (sources, sections, chunks, links, ..).
+def publish_chunks(artifacts: DataFrame, tables: dict[str, DataFrame], path: str) -> int:
+    """Publishes artifacts with their child tables (sources, sections, chunks, links, ..), all in one swap.
 
     Every table carries artifact_id. All rows of the published artifacts are replaced, in the child
     tables too when they have no new row; publishing twice gives the same tables.
     """
-    touched = artifacts.select("artifact_id")
-    for name, rows in {"pages": artifacts, **tables}.items():
-        replace_in_table(rows, touched, "artifact_id", f"{path}/{name}")
+    return Snapshots(artifacts.sparkSession, path, "artifact_id").replace({"pages": artifacts, **tables}, artifacts.select("artifact_id"))
 
 
-__all__ = ["append_events", "export_sources", "flatten_logs", "prepare_events", "publish_chunks", "read_logs", "replace_by_key", "replace_in_table"]
+__all__ = ["append_events", "export_sources", "flatten_logs", "prepare_events", "publish_chunks", "read_logs", "read_table", "replace_by_key", "replace_in_table"]

@@ -102,7 +102,7 @@ def test_publish_replaces_only_touched_artifacts(rows, spark, tmp_path):
     FE.publish_chunks(page((1, "a"), (2, "b")), {"chunks": chunk((1, "x"), (1, "y"), (2, "z"))}, path)
     for _ in range(2):  # publishing twice changes nothing
         FE.publish_chunks(page((1, "a2")), {"chunks": chunk((1, "w"))}, path)
-    read = lambda name, c: sorted((r["artifact_id"], r[c]) for r in spark.read.parquet(f"{path}/{name}").collect())
+    read = lambda name, c: sorted((r["artifact_id"], r[c]) for r in FE.read_table(spark, path, "artifact_id", name).collect())
     assert read("pages", "title") == [(1, "a2"), (2, "b")] and read("chunks", "text") == [(1, "w"), (2, "z")]
     FE.publish_chunks(page((2, "b2")), {"chunks": chunk((2, "q")).limit(0)}, path)
     assert read("chunks", "text") == [(1, "w")]
