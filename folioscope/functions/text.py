@@ -250,14 +250,3 @@ def section_title(heading: Column, text: Column, page_title: Column) -> Column:
 
 def error_detail(c: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(c, r"[\p{Cc}\s]+", " ")), 1, 500)
-
-
-def highlight(text: Column, term: Column, radius: int = 40) -> Column:
-    """Text around the first hit of `term`, the hit marked, blanks collapsed."""
-    at = F.instr(F.lower(text), F.lower(term))
-    begin = F.greatest(at - F.lit(radius), F.lit(1))
-    before = F.substr(text, begin, at - begin)
-    hit = F.substr(text, at, F.length(term))
-    after = F.substr(text, at + F.length(term), F.lit(radius))
-    marked = F.concat(before, F.lit("<b>"), hit, F.lit("</b>"), after)
-    return F.when(at > 0, squash(marked)).otherwise(squash(F.substring(text, 1, 2 * radius)))

@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import contains_folded, fold, han_bigrams, highlight, latin_terms
+from folioscope.functions.fragments import query_terms, with_highlight
+from folioscope.functions.text import contains_folded, fold, han_bigrams, latin_terms
 from folioscope.operators.paging import any_of, offset_page, priority_first, with_total
 
 # Weight of a hit in the title and in the text.
 TITLE_WEIGHT, TEXT_WEIGHT = 1.0, 0.4
 
 
-def query_terms(query: str) -> Column:
-    """Terms of a query, made as those of texts are: folded latin terms and Han pairs."""
-    folded = fold(F.lit(query))
-    return F.concat(latin_terms(folded), han_bigrams(folded))
-
-
 def _hits(tokens: Column, terms: Column) -> Column:
     """Query terms present among the tokens; the last term may match as a prefix."""
     last = F.size(terms) - 1
@@ -43,7 +38,7 @@ def search_pages(
     pages: DataFrame, query: str, visible: DataFrame, page: int = 1, limit: int = 50, space_id=None,
     creator_id=None, modified_from=None, modified_to=None, titles_only: bool = False, page_ids: DataFrame | None = None,
 ) -> DataFrame:
-    """pages(page_id, title, text, space_id, deleted_at): ranked hits the reader may see, with a highlighted passage and
+    """pages(page_id, title, text, space_id, deleted_at): ranked hits the reader may see, with highlighted passages and
     the total of hits.
 
     Filters reach the scan: the space, the creator (creator_id), the time of change (updated_at), or a table of page_id,
@@ -63,9 +58,9 @@ def search_pages(
     text = F.lit("") if titles_only else F.col("text")
     score, matched = page_rank(F.col("title"), text, query)
     hits = rows.filter(matched).join(visible, "page_id", "left_semi").select("page_id", F.round(score, 6).alias("score"))
-    details = pages.select("page_id", "title", highlight(F.col("text"), F.lit(query)).alias("highlight"))
     cut = offset_page(hits, [F.desc("score"), F.asc("page_id")], page, limit)
-    return with_total(cut, hits).join(details, "page_id")
+    shown = with_total(cut, hits).join(pages.select("page_id", "title", "text"), "page_id")
+    return with_highlight(shown, "text", query).drop("text")
 
 
 def search_attachments(attachments: DataFrame, query: str, visible: DataFrame, limit: int = 25, texts: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from folioscope.functions import text as X
 from folioscope.functions import vectors as VEC
+from folioscope.functions.fragments import with_highlight
 from folioscope.operators import context as CX
 from folioscope.operators import retrieve as R
 from folioscope.operators import search as SE
@@ -645,10 +646,34 @@ def search_filters(spark, sf):
     return found.select("page_id", "score", "total")
 
 
-@plan(r"""select doc_id as page_id, trim(regexp_replace(case when instr(lower(text), 'the') > 0 then substr(text, greatest(instr(lower(text), 'the') - 40, 1), instr(lower(text), 'the') - greatest(instr(lower(text), 'the') - 40, 1)) || '<b>' || substr(text, instr(lower(text), 'the'), 3) || '</b>' || substr(text, instr(lower(text), 'the') + 3, 40)
- else substr(text, 1, 80) end, '\s+', ' ', 'g')) as highlight from documents""")
+HIGHLIGHT_TERMS, HIGHLIGHT_WORDS = ["haben", "the", "of", "entr"], 10
+
+
+def _fragment_rounds(rounds: int) -> str:
+    """One round of SQL for each fragment: windows that hits open, the best of them, and the words it shows."""
+    out = "chosen0 as (select doc_id, 0::bigint as first, 0::bigint as last from documents where false)"
+    for n in range(rounds):
+        out += f""",
+open{n} as (select h.*, (select count(*) from chosen{n} c where c.doc_id = h.doc_id and c.first <= h.place) as gap from hits h where not exists (select 1 from chosen{n} c where c.doc_id = h.doc_id and h.place between c.first and c.last)),
+firsts{n} as (select a.doc_id, a.place, b.term, min(b.place) as at_ from open{n} a join open{n} b on a.doc_id = b.doc_id and a.gap = b.gap and b.place between a.place and a.place + {HIGHLIGHT_WORDS - 1} group by all),
+best{n} as (select doc_id, place, max(at_) - place as needed from firsts{n} group by 1, 2 qualify row_number() over (partition by doc_id order by count(*) desc, max(at_) - place, place) = 1),
+edge{n} as (select b.*, coalesce((select max(last) from chosen{n} c where c.doc_id = b.doc_id and c.last < b.place), -1) as l, coalesce((select min(first) from chosen{n} c where c.doc_id = b.doc_id and c.first > b.place), s.n) as r from best{n} b join sizes s using (doc_id)),
+start{n} as (select doc_id, r, greatest(least(place - ({HIGHLIGHT_WORDS - 1} - needed) // 2, r - {HIGHLIGHT_WORDS}), l + 1) as first from edge{n}),
+chosen{n + 1} as (select * from chosen{n} union all select doc_id, first, least(first + {HIGHLIGHT_WORDS - 1}, r - 1) from start{n})"""
+    return out
+
+
+@plan(rf"""with w0 as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') as w from documents), sizes as (select doc_id, len(w) as n from w0),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as place from w0),
+marked as (select *, list_min(list_transform(range(1, {len(HIGHLIGHT_TERMS) + 1}), lambda i: case when list_contains(own, {HIGHLIGHT_TERMS}[i]) or (i = {len(HIGHLIGHT_TERMS)} and len(list_filter(own, lambda x: starts_with(x, '{HIGHLIGHT_TERMS[-1]}'))) > 0) then i end)) as term
+ from (select *, regexp_extract_all(lower(strip_accents(replace(word, 'ß', 'ss'))), '[a-z0-9_./:\-]{{2,}}') as own from words)),
+hits as (select doc_id, place, term from marked where term is not null), {_fragment_rounds(3)},
+shown as (select c.doc_id, c.first, string_agg(case when term is null then word else '<b>' || word || '</b>' end, ' ' order by place) as fragment from chosen3 c join marked m on m.doc_id = c.doc_id and m.place between c.first and c.last group by 1, 2)
+select doc_id as page_id, coalesce((select string_agg(fragment, ' ... ' order by first) from shown s where s.doc_id = w0.doc_id), array_to_string(w[1:{HIGHLIGHT_WORDS}], ' ')) as highlight from w0""")
 def highlights(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), X.highlight(F.col("text"), F.lit("the")).alias("highlight"))
+    """Three fragments of every document for a query of four words."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    return with_highlight(docs, "text", " ".join(HIGHLIGHT_TERMS)).select("page_id", "highlight")
 
 
 @plan(f"""with {ALLOWED} select p_partkey as attachment_id, p_name as file_name from part where contains(lower(p_name), 'ring') and p_type <> 'PROMO' and p_partkey in (select chunk_id from allowed) order by p_name, p_partkey limit 25""")
