@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.fragments import query_terms, with_highlight
 from folioscope.functions.text import contains_folded, fold, han_bigrams, latin_terms
 from folioscope.operators.paging import any_of, offset_page, priority_first, with_total
+from folioscope.session import cut_lineage
 
 # Weight of a hit in the title and in the text.
 TITLE_WEIGHT, TEXT_WEIGHT = 1.0, 0.4
 
 
-def _hits(tokens: Column, terms: Column) -> Column:
-    """Query terms present among the tokens; the last term may match as a prefix."""
-    last = F.size(terms) - 1
-    found = F.filter(terms, lambda t, i: F.when(i == last, F.exists(tokens, lambda x: F.startswith(x, t))).otherwise(F.array_contains(tokens, t)))
-    return F.size(found)
+def _hits(tokens: Column, terms: list[str]) -> Column:
+    """How many of the terms are among the tokens; the last term may match as a prefix."""
+    found = [F.array_contains(tokens, t) for t in terms[:-1]] + [F.exists(tokens, lambda x: F.startswith(x, F.lit(terms[-1])))]
+    return reduce(lambda a, b: a + b, [f.cast("int") for f in found])
 
 
-def page_rank(title: Column, text: Column, query: str) -> tuple[Column, Column]:
-    """(score, matched): weighted share of matching terms; a substring hit matches with score 0.
+def ranked_pages(rows: DataFrame, query: str, titles_only: bool = False) -> DataFrame:
+    """The rows that match, with `score`: weighted share of matching terms; a substring hit matches with score 0.
 
-    A query without any term, as one letter, matches as a substring; an empty one matches nothing.
+    A query without any term, as one letter, matches as a substring; an empty one matches nothing. Texts are folded once; those that do not hold
+    every term as plain characters, which cannot match, are left out before any is cut into terms.
     """
-    terms = query_terms(query)
-    tokens = lambda c: F.concat(latin_terms(fold(c)), han_bigrams(fold(c)))
-    asked = F.size(terms)
-    in_title, in_text = _hits(tokens(title), terms), _hits(tokens(text), terms)
-    score = F.when(asked > 0, (in_title * TITLE_WEIGHT + in_text * TEXT_WEIGHT) / asked).otherwise(F.lit(0.0))
-    every = (asked > 0) & (F.greatest(in_title, in_text) == asked)
-    return score, (every | contains_folded(title, query) | contains_folded(text, query)) & F.lit(bool(query.strip()))
+    asked = rows.sparkSession.range(1).select(query_terms(query).alias("t"), fold(F.lit(query)).alias("q")).first()  # of the literal query
+    terms, whole = asked["t"], asked["q"]
+    text = F.lit("") if titles_only else fold(F.coalesce("text", F.lit("")))
+    folded = rows.withColumns({"_title": fold(F.coalesce("title", F.lit(""))), "_text": text})
+    both = [F.col("_title"), F.col("_text")]
+    holds = lambda part: both[0].contains(F.lit(part)) | both[1].contains(F.lit(part))
+    folded = folded.filter(reduce(lambda a, b: a & b, [holds(t) for t in dict.fromkeys(terms)] or [holds(whole)]) & F.lit(bool(query.strip())))
+    if not terms:
+        return folded.withColumn("score", F.lit(0.0)).drop("_title", "_text")
+    tokens = lambda c: F.array_distinct(F.concat(latin_terms(c), han_bigrams(c)))
+    cut = folded.withColumns({"_in_title": _hits(tokens(both[0]), terms), "_in_text": _hits(tokens(both[1]), terms)})
+    every = F.greatest("_in_title", "_in_text") == len(terms)
+    score = F.round((F.col("_in_title") * TITLE_WEIGHT + F.col("_in_text") * TEXT_WEIGHT) / len(terms), 6)
+    return cut.filter(every | holds(whole)).withColumn("score", score).drop("_title", "_text", "_in_title", "_in_text")
 
 
 def search_pages(
@@ -55,9 +65,8 @@ def search_pages(
         rows = rows if wanted is None else rows.filter(wanted)
     if page_ids is not None:
         rows = rows.join(page_ids, "page_id", "left_semi")
-    text = F.lit("") if titles_only else F.col("text")
-    score, matched = page_rank(F.col("title"), text, query)
-    hits = rows.filter(matched).join(visible, "page_id", "left_semi").select("page_id", F.round(score, 6).alias("score"))
+    matching = ranked_pages(rows, query, titles_only).select("page_id", "score")
+    hits = cut_lineage(matching.join(visible, "page_id", "left_semi"))  # read twice: for the page and for the total
     cut = offset_page(hits, [F.desc("score"), F.asc("page_id")], page, limit)
     shown = with_total(cut, hits).join(pages.select("page_id", "title", "text"), "page_id")
     return with_highlight(shown, "text", query).drop("text")
