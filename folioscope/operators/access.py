@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import sha256_hex
 from folioscope.operators.tree import ancestors, descendants, nearest_marked
 
+# Hex digits of an entry's digest that name its slot in the hash of a policy.
+SLOT_DIGITS = 3
+
 
 def expand_principals(permissions: DataFrame, memberships: DataFrame) -> DataFrame:
     """(page_id, user_id, can_write): grants to users, and grants to groups spread over their members."""
@@ -152,24 +155,38 @@ def parents_with_visible_children(pages: DataFrame, visible: DataFrame) -> DataF
     ).distinct()
 
 
-def policy_snapshot(chain: DataFrame, permissions: DataFrame) -> DataFrame:
-    """(zone, requirement_count, principal_count, policy_hash).
+def policy_requirements(chain: DataFrame, permissions: DataFrame) -> DataFrame:
+    """(zone, distance, required, principal, role): what a zone requires, nearest restriction first; principal and role are null where it has none.
 
-    The hash digests every (position, principal, role) row and adds the digests up, so a restriction
-    with very many principals is reduced by partial sums and never collected into one list.
+    Sorted by these columns the rows are the canonical list of a policy.
     """
     principal = F.coalesce(
         F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.concat(F.lit("group:"), F.col("group_id").cast("string"))
     )
-    rows = chain.join(
-        permissions.select(F.col("page_id").alias("required"), principal.alias("principal"), "role"), "required", "left"
+    held = permissions.select(F.col("page_id").alias("required"), principal.alias("principal"), "role").filter("principal is not null").distinct()
+    return chain.select("zone", "distance", "required").join(held, "required", "left").select("zone", "distance", "required", "principal", "role")
+
+
+def policy_snapshot(chain: DataFrame, permissions: DataFrame) -> DataFrame:
+    """(zone, requirement_count, principal_count, policy_hash).
+
+    The hash is a tree over the canonical list. Entries of a requirement are dealt to 4 096 slots by their digest; a slot's hash covers its sorted
+    digests, a requirement's hash its slots in order, the policy's hash its requirements from the nearest on. So no list grows with the number of
+    principals but within a slot, equal policies have equal hashes, and two requirements that swap give another.
+    """
+    rows = policy_requirements(chain, permissions)
+    entry = F.when(F.col("principal").isNotNull(), sha256_hex(F.concat_ws("|", "principal", "role")))
+    slots = rows.withColumn("entry", entry).groupBy("zone", "distance", "required", F.substring("entry", 1, SLOT_DIGITS).alias("slot")).agg(
+        F.count("entry").alias("n"), sha256_hex(F.array_join(F.array_sort(F.collect_list("entry")), ",")).alias("hash")
+    )
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "hash"))), lambda s: F.concat_ws(":", s["slot"], s["hash"])), ",")
+    requirements = slots.groupBy("zone", "distance", "required").agg(F.sum("n").alias("n"), listed.alias("listed")).select(
+        "zone", "distance", "n", sha256_hex(F.concat_ws("|", F.col("required").cast("string"), F.col("n").cast("string"), "listed")).alias("hash")
     )
-    entry = F.concat_ws("|", F.col("required").cast("string"), F.col("distance").cast("string"), "principal", "role")
-    number = F.conv(F.substring(sha256_hex(entry), 1, 15), 16, 10).cast("decimal(20,0)")
-    return rows.groupBy("zone").agg(
-        (F.max("distance") + 1).cast("long").alias("requirement_count"),
-        F.count("principal").alias("principal_count"),
-        sha256_hex(F.concat_ws(":", F.count("*").cast("string"), F.sum(number).cast("string"))).alias("policy_hash"),
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("distance", "hash"))), lambda r: r["hash"])
+    return requirements.groupBy("zone").agg(
+        (F.max("distance") + 1).cast("long").alias("requirement_count"), F.sum("n").alias("principal_count"),
+        sha256_hex(F.array_join(ordered, ",")).alias("policy_hash"),
     )
 
 

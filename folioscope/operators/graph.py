@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,6 +192,72 @@ def modularity(membership: DataFrame, edges: DataFrame) -> float:
     return 0.0 if not row["m2"] else row["inside"] / row["m2"] - row["k2"] / row["m2"] ** 2
 
 
+def _offers(links: DataFrame, state: DataFrame, total: float) -> DataFrame:
+    """(node, k, community, target, gain) of every community that a node has a link to, its own among them.
+
+    The gain is what the node adds to modularity there (times the total weight), compared with standing alone.
+    """
+    where = state.select(F.col("node").alias("dst"), F.col("community").alias("target"))
+    pull = links.filter(F.col("src") != F.col("dst")).join(where, "dst").groupBy(F.col("src").alias("node"), "target").agg(F.sum("weight").alias("w"))
+    own = state.select("node", F.col("community").alias("target"), F.lit(0.0).alias("w"))
+    pull = pull.unionByName(own).groupBy("node", "target").agg(F.sum("w").alias("w"))
+    sums = state.groupBy(F.col("community").alias("target")).agg(F.sum("k").alias("mass"))
+    offers = pull.join(state, "node").join(sums, "target")
+    mass = F.col("mass") - F.when(F.col("target") == F.col("community"), F.col("k")).otherwise(0)
+    return offers.select("node", "k", "community", "target", F.round(F.col("w") - F.col("k") * mass / (2 * total), 9).alias("gain"))
+
+
+def _best_moves(links: DataFrame, state: DataFrame, total: float, mark: object = "") -> DataFrame:
+    """(node, community, to, rise): the best move of each node that has one which raises modularity; standing alone is a move too.
+
+    A node that is to stand alone gets a new community, named by `mark`, which no round before had.
+    """
+    offers = _offers(links, state, total)
+    there = F.col("target") != F.col("community")
+    best = offers.groupBy("node", "community").agg(
+        F.max(F.when(~there, F.col("gain"))).alias("own"), F.max(F.when(there, F.struct("gain", "target"))).alias("best")
+    )
+    alone = F.coalesce(F.col("best.gain"), F.lit(0.0)) <= 0
+    gain = F.when(alone, F.lit(0.0)).otherwise(F.col("best.gain"))
+    target = F.when(alone, F.concat(F.lit(f"alone {mark}:"), "node")).otherwise(F.col("best.target"))
+    return best.select("node", "community", target.alias("to"), F.round(gain - F.col("own"), 9).alias("rise")).filter("rise > 0")
+
+
+def _moved(state: DataFrame, moves: DataFrame) -> DataFrame:
+    return state.join(moves.select("node", "to"), "node", "left").select("node", "k", F.coalesce("to", "community").alias("community"))
+
+
+def _settled(links: DataFrame, state: DataFrame, total: float) -> DataFrame:
+    """Moves until none raises modularity. Of the moves out of or into a community only the best is made in a round, so moves of a
+    round do not touch each other, each round raises modularity, and the rounds end."""
+    for turn in count():
+        moves = cut_lineage(_best_moves(links, state, total, f"again {turn}"))
+        sides = moves.select(F.col("community").alias("c"), "node", "rise").union(moves.select("to", "node", "rise"))
+        first = sides.groupBy("c").agg(F.max_by("node", F.struct("rise", "node")).alias("node"))
+        chosen = moves.join(first.select(F.col("c").alias("community"), F.col("node").alias("out")), "community").join(
+            first.select(F.col("c").alias("to"), F.col("node").alias("into")), "to"
+        ).filter((F.col("out") == F.col("node")) & (F.col("into") == F.col("node")))
+        if moves.isEmpty():
+            return state
+        state = cut_lineage(_moved(state, chosen))
+    raise AssertionError  # the rounds end above
+
+
+def _connected_parts(links: DataFrame, state: DataFrame) -> DataFrame:
+    """(node, community, part): the smallest node of each part of a community that its own links hold together."""
+    of = lambda key, name: state.select(F.col("node").alias(key), F.col("community").alias(name))
+    inner = cut_lineage(links.filter("src <> dst").join(of("src", "x"), "src").join(of("dst", "y"), "dst").filter("x = y").select("src", "dst"))
+    label = cut_lineage(state.select("node", "community", F.col("node").alias("part")))
+    while True:
+        near = inner.join(label.select(F.col("node").alias("dst"), "part"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("part").alias("near"))
+        step = label.join(near, "node", "left").select("node", "community", F.least("part", F.coalesce("near", "part")).alias("part"), (F.col("near") < F.col("part")).alias("fell"))
+        jump = step.select(F.col("node").alias("part"), F.col("part").alias("further"))
+        step = cut_lineage(step.join(jump, "part").select("node", "community", F.col("further").alias("part"), "fell"))
+        label = step.drop("fell")
+        if step.filter("fell").isEmpty():
+            return label
+
+
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
     """(node, community, size): communities by local moves that raise modularity, then by merging them.
 
@@ -254,6 +320,52 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: in
     return _numbered(placed)
 
 
+def settle(membership: DataFrame, edges: DataFrame) -> DataFrame:
+    """membership(node, community) moved on to where no single move raises modularity and every community hangs together.
+
+    Parts of a community that its own links do not join are split, then moves are made; both raise modularity, so they end. As many rounds as
+    moves follow from each other: for views whose division is to be final. The result is numbered as that of `communities`.
+    """
+    text = lambda c: F.col(c).cast("string")
+    flat = edges.filter("a <> b").select(text("a").alias("src"), text("b").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    ground = cut_lineage(flat.unionByName(flat.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    strength = ground.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    total = (ground.agg(F.sum("weight")).first()[0] or 0.0) / 2
+    if not total:
+        return _numbered(membership.select("node", "community"))
+    state = cut_lineage(membership.select(text("node").alias("node"), text("community").alias("community")).join(strength, "node"))
+    while True:
+        parts = _connected_parts(ground, state)
+        apart = parts.groupBy("community").agg(F.count_distinct("part").alias("n")).agg(F.max("n")).first()[0]
+        state = cut_lineage(state.drop("community").join(parts.select("node", F.col("part").alias("community")), "node"))
+        after = _settled(ground, state, total)
+        if after is state and apart == 1:
+            break
+        state = after
+    linked = state.select(F.col("node").alias("_node"), F.concat(F.lit("linked:"), "community").alias("_c"))
+    named = membership.select("node", text("community").alias("community")).join(linked, text("node") == F.col("_node"), "left")
+    return _numbered(named.select("node", F.coalesce("_c", "community").alias("community")))
+
+
+def open_moves(membership: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, community, to, rise): single moves that would still raise the modularity of membership(node, community)."""
+    flat = edges.filter("a <> b").select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    links = flat.unionByName(flat.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    strength = links.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    state = membership.select(F.col("node").cast("string").alias("node"), F.col("community").cast("string").alias("community")).join(strength, "node")
+    total = flat.agg(F.sum("weight")).first()[0]
+    return _best_moves(links, state.select("node", "k", "community"), total or 1.0)
+
+
+def insight_counts(nodes: DataFrame, edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """One row: nodes, communities with more than one node, isolated nodes and bridges of a view."""
+    flags = graph_insights(nodes, edges, membership)
+    groups = membership.groupBy("community").count().filter("count > 1").agg(F.count("*").alias("n"))
+    return flags.agg(
+        F.count("*").alias("nodes"), F.coalesce(groups.scalar(), F.lit(0)).alias("communities"), F.count_if("isolated").alias("isolated"), F.count_if("bridge").alias("bridges")
+    )
+
+
 def _numbered(placed: DataFrame) -> DataFrame:
     """Communities counted from 1 by size, largest first, then by smallest member."""
     sizes = placed.groupBy("community").agg(F.count("*").alias("size"), F.min("node").alias("first"))

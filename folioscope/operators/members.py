@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Roles from the strongest down.
 ROLES = ["admin", "writer", "reader"]
@@ -68,6 +71,28 @@ def with_labels(pages: DataFrame, page_labels: DataFrame) -> DataFrame:
     return pages.join(packed, "page_id", "left")
 
 
+def nested(rows: DataFrame, key: str, one: dict[str, tuple[str, DataFrame]], many: dict[str, DataFrame]) -> DataFrame:
+    """`rows` with objects of other tables inside.
+
+    one: name → (column of `rows`, table(id, ..)), a struct or null; ids are unique. many: name → table(<key>, ..), an array of structs in the order of the
+    table's columns, empty where a row has none. All lists are put together in one exchange on the key, however many tables they come from.
+    """
+    out = rows
+    for name, (column, table) in one.items():
+        inside = F.struct(*[F.col(c) for c in table.columns]).alias(name)
+        out = out.join(table.select(F.col("id").alias(f"_{name}"), inside), F.col(column) == F.col(f"_{name}"), "left").drop(f"_{name}")
+    if not many:
+        return out
+    cells = {name: F.struct(*[F.col(c) for c in table.columns if c != key]) for name, table in many.items()}
+    kinds = {name: table.select(cells[name].alias("v")).schema["v"].dataType for name, table in many.items()}
+    parts = [
+        table.select(F.col(key).alias("_key"), *[(cells[n] if n == name else F.lit(None).cast(kinds[n])).alias(n) for n in many]) for name, table in many.items()
+    ]
+    lists = reduce(lambda a, b: a.unionByName(b), parts).groupBy("_key").agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in many])
+    joined = out.join(lists, F.col(key) == F.col("_key"), "left").drop("_key")
+    return joined.withColumns({n: F.coalesce(F.col(n), F.array().cast(T.ArrayType(kinds[n]))) for n in many})
+
+
 def reply_flags(comments: DataFrame) -> DataFrame:
     """Per comment: whether it has replies, and replies by other people."""
     replies = comments.filter(F.col("parent_id").isNotNull()).groupBy("parent_id", "user_id").agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscope.operators import graph as G
 from folioscope.plans.registry import plan, table
@@ -111,18 +112,26 @@ def communities(spark, sf):
     return G.communities(nodes, weighted)
 
 
-@plan(f"with {NODES} select count(*) as nodes, true as once, true as sizes, true as better from nodes")
+@plan(f"""with {NODES} select count(*) as nodes, true as once, true as sizes, true as numbered, true as better, count(*) filter (where page_id not in (select node from around)) as isolated, true as bridges from nodes""")
 def communities_hold(spark, sf):
-    """What every division into communities must keep: all nodes once, true sizes, a modularity not below that of single nodes."""
+    """What every division into communities must keep: all nodes once, true sizes, numbers by size and smallest member, a modularity above that of
+    single nodes. Isolated nodes and bridges are those of the communities found."""
     nodes, edges = _view(spark, sf)
-    weighted = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.lit(1.0).alias("weight")).filter("a <> b")
+    weighted = cut_lineage(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.lit(1.0).alias("weight")).filter("a <> b"))
     found = cut_lineage(G.communities(nodes, weighted))
     alone = nodes.select(F.col("page_id").alias("node"), F.col("page_id").alias("community"))
     better = G.modularity(found, weighted) >= G.modularity(alone, weighted)
-    sizes = found.groupBy("community").agg(F.max("size").alias("told"), F.min("size").alias("least"), F.count("*").alias("n"))
+    sizes = found.groupBy("community").agg(F.max("size").alias("told"), F.min("size").alias("least"), F.count("*").alias("n"), F.min("node").alias("first"))
     right = sizes.agg(F.coalesce(F.bool_and((F.col("told") == F.col("n")) & (F.col("least") == F.col("n"))), F.lit(True)).alias("ok"))
+    order = Window.orderBy(F.desc("n"), F.asc("first"))
+    numbered = sizes.withColumn("place", F.row_number().over(order)).agg(F.coalesce(F.bool_and(F.col("community") == F.concat(F.lit("community-"), "place")), F.lit(True)).alias("ok"))
+    own = found.select(F.col("node").alias("x"), F.col("community").alias("cx"))
+    crossing = weighted.join(own.withColumnRenamed("x", "a"), "a").join(own.select(F.col("x").alias("b"), F.col("cx").alias("cy")), "b").filter("cx <> cy")
+    ends = crossing.select("a").union(crossing.select("b")).distinct().agg(F.count("*").alias("n"))
+    counts = G.insight_counts(nodes, edges, found)
     return found.agg(
-        F.count("*").alias("nodes"), (F.count("*") == F.count_distinct("node")).alias("once"), right.scalar().alias("sizes"), F.lit(better).alias("better")
+        F.count("*").alias("nodes"), (F.count("*") == F.count_distinct("node")).alias("once"), right.scalar().alias("sizes"), numbered.scalar().alias("numbered"),
+        F.lit(better).alias("better"), counts.select("isolated").scalar().alias("isolated"), (counts.select("bridges").scalar() == ends.scalar()).alias("bridges"),
     )
 
 

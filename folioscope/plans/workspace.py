@@ -222,9 +222,18 @@ def export_paths(spark, sf):
 
 
 POLICY = """chain as (select n.page_id as zone, n.anc as required, row_number() over (partition by n.page_id order by n.depth) - 1 as distance from needed n where n.page_id in (select page_id from restricted)),
-prows as (select c.zone, c.required, c.distance, coalesce('user:' || user_id, 'group:' || group_id) as principal, role from chain c left join permission p on p.page_id = c.required),
-policy as (select zone, (max(distance) + 1)::bigint as requirement_count, count(principal) as principal_count,
- sha256(count(*) || ':' || sum(('0x' || substr(sha256(concat_ws('|', required, distance, principal, role)), 1, 15))::bigint)::varchar) as policy_hash from prows group by 1)"""
+held as (select distinct page_id, coalesce('user:' || user_id, 'group:' || group_id) as principal, role from permission where user_id is not null or group_id is not null),
+prows as (select c.zone, c.required, c.distance, principal, role, case when principal is not null then sha256(concat_ws('|', principal, role)) end as entry from chain c left join held p on p.page_id = c.required),
+slots as (select zone, required, distance, substr(entry, 1, 3) as slot, count(entry) as n, sha256(coalesce(string_agg(entry, ',' order by entry), '')) as hash from prows group by all),
+reqs as (select zone, distance, sum(n) as n, sha256(concat_ws('|', required, sum(n), string_agg(concat_ws(':', slot, hash), ',' order by slot))) as hash from slots group by zone, distance, required),
+policy as (select zone, (max(distance) + 1)::bigint as requirement_count, sum(n)::bigint as principal_count, sha256(string_agg(hash, ',' order by distance)) as policy_hash from reqs group by 1)"""
+
+
+@plan(f"{S.WITH_ACCESS}, {POLICY} select zone, distance, required, principal, role from prows")
+def policy_requirements(spark, sf):
+    pages, access = S.tree_pages(spark, sf), S.tree_access(spark, sf)
+    chain = AC.restriction_chain(pages, access, AC.zones(pages, access))
+    return AC.policy_requirements(chain, S.tree_permissions(spark, sf)).withColumn("distance", F.col("distance").cast("long"))
 
 
 @plan(f"{S.WITH_ACCESS}, {POLICY} select * from policy")
@@ -438,6 +447,36 @@ def pages_with_labels(spark, sf):
     )
 
 
+@plan("""with lab as (select l_orderkey as id, string_agg(distinct l_returnflag, ',' order by l_returnflag) as labels from lineitem group by 1),
+lin as (select l_orderkey as id, string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, ',' order by l_linenumber, l_partkey, l_suppkey) as lines from lineitem group by 1)
+select o.o_orderkey as page_id, c_custkey::varchar || '/' || c_acctbal as creator, n_name as space, q.o_orderpriority as parent, coalesce(labels, '') as labels, coalesce(lines, '') as lines
+from orders o left join customer on c_custkey = o.o_custkey left join nation on n_nationkey = o.o_custkey % 25 left join orders q on q.o_orderkey = o.o_orderkey // 2 and o.o_orderkey > 0 left join lab on lab.id = o.o_orderkey left join lin on lin.id = o.o_orderkey""")
+def page_objects(spark, sf):
+    """Orders as pages: customer, nation and parent page inside as objects, flags and lines as ordered lists."""
+    orders, line = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    pages = orders.select(
+        F.col("o_orderkey").alias("page_id"), F.col("o_custkey").alias("creator_id"), (F.col("o_custkey") % 25).cast("int").alias("space_id"),
+        F.when(F.col("o_orderkey") > 0, F.floor(F.col("o_orderkey") / 2)).alias("parent_id"), F.col("o_orderpriority").alias("title"),
+    )
+    out = M.nested(
+        pages, "page_id",
+        one={
+            "creator": ("creator_id", table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))),
+            "space": ("space_id", table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))),
+            "parent": ("parent_id", pages.select(F.col("page_id").alias("id"), "title")),
+        },
+        many={
+            "labels": line.select(F.col("l_orderkey").alias("page_id"), F.col("l_returnflag").alias("name")).distinct(),
+            "lines": line.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")),
+        },
+    )
+    listed = F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["no"], x["part"], x["supplier"])), ",")
+    return out.select(
+        "page_id", F.concat(F.col("creator.id").cast("string"), F.lit("/"), F.col("creator.balance").cast("string")).alias("creator"), F.col("space.name").alias("space"), F.col("parent.title").alias("parent"),
+        F.array_join(F.transform("labels", lambda x: x["name"]), ",").alias("labels"), listed.alias("lines"),
+    )
+
+
 @plan("""with c as (select conv_id * 1000 + turn as comment_id, case when turn > 0 then conv_id * 1000 + (turn // 2) end as parent_id, role as user_id from conversations),
 f as (select p.comment_id, count(*) as n, bool_or(r.user_id <> p.user_id) as others from c p join c r on r.parent_id = p.comment_id group by 1)
 select comment_id, coalesce(n, 0) > 0 as has_replies, coalesce(others, false) as has_replies_by_others from c left join f using (comment_id)""")

@@ -146,3 +146,30 @@ def test_search_ranks_what_the_reader_may_see(rows):
     assert ids("world, hello") == ids("hello world") == [901] and ids("知识图") == [900] and ids(" ") == []
     assert len(ids("über b", creator_id=1, modified_from=10, modified_to=20)) == 10
     assert ids("hello", titles_only=True) == [] and ids("hello", page_ids=rows("page_id int", (3,))) == []
+
+
+def test_policy_hash_changes_when_requirements_swap_and_not_with_the_order_of_rows(rows):
+    from folioscope.operators import access as AC
+
+    permissions = rows("page_id int, user_id int, group_id int, role string", *[(10, u, None, "reader") for u in range(50)], (11, None, 7, "writer"), (12, None, None, "reader"))
+    chain = rows("zone int, required int, distance int", (1, 10, 0), (1, 11, 1), (2, 11, 0), (2, 10, 1), (3, 12, 0), (4, 10, 0), (4, 11, 1))
+    got = {r["zone"]: r for r in AC.policy_snapshot(chain, permissions).collect()}
+    assert got[1]["policy_hash"] != got[2]["policy_hash"] and got[1]["policy_hash"] == got[4]["policy_hash"]
+    assert (got[1]["requirement_count"], got[1]["principal_count"], got[3]["principal_count"]) == (2, 51, 0)
+    again = {r["zone"]: r["policy_hash"] for r in AC.policy_snapshot(chain.orderBy(F.desc("required")), permissions.orderBy(F.desc("user_id")).union(permissions)).collect()}
+    assert again == {z: r["policy_hash"] for z, r in got.items()}
+    listed = AC.policy_requirements(chain, permissions).filter("zone = 1").orderBy("distance", "required", "principal").collect()
+    assert len(listed) == 51 and listed[-1]["principal"] == "group:7"
+
+
+def test_nested_objects(rows):
+    from folioscope.operators.members import nested
+
+    pages = rows("page_id int, creator_id int", (1, 5), (2, 9), (3, None))
+    users = rows("id int, name string", (5, "Ann"))
+    labels = rows("page_id int, label string", (1, "b"), (1, "a"))
+    files = rows("page_id int, size int, file string", (1, 2, "x"), (2, 1, None), (9, 1, "z"))
+    got = {r["page_id"]: r for r in nested(pages, "page_id", {"creator": ("creator_id", users)}, {"labels": labels, "files": files}).collect()}
+    assert got[1]["creator"]["name"] == "Ann" and got[2]["creator"] is None and got[3]["creator"] is None
+    assert [r["label"] for r in got[1]["labels"]] == ["a", "b"] and got[3]["labels"] == [] == got[3]["files"]
+    assert [tuple(r) for r in got[2]["files"]] == [(1, None)]

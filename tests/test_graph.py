@@ -58,6 +58,43 @@ def test_communities_of_two_cliques(spark):
     assert G.modularity(got.select("node", "community"), edges) > 0.4
 
 
+def _modularity(edges, of):
+    k, m = {}, 0.0
+    for a, b, w in edges:
+        k[a], k[b], m = k.get(a, 0) + w, k.get(b, 0) + w, m + w
+    inner = sum(w for a, b, w in edges if of[a] == of[b])
+    mass = {}
+    for n, v in k.items():
+        mass[of[n]] = mass.get(of[n], 0) + v
+    return inner / m - sum(v * v for v in mass.values()) / (4 * m * m)
+
+
+def test_settled_communities_have_no_open_move_and_hang_together(spark):
+    rng = random.Random(4)
+    pairs = {tuple(sorted((rng.randrange(40), rng.randrange(40)))) for _ in range(70)} | {(a, b) for g in (0, 10, 20) for a in range(g, g + 6) for b in range(a + 1, g + 6)}
+    edges = [(a, b, float(rng.randint(1, 3))) for a, b in sorted(pairs) if a != b]
+    df = spark.createDataFrame(edges, "a int, b int, weight double")
+    start = spark.range(40).select(F.col("id").cast("int").alias("node"), (F.col("id") % 20).alias("community"))  # pairs that are no community
+    assert G.open_moves(start, df).count() > 0
+    found = G.settle(start, df)
+    of = {r["node"]: r["community"] for r in found.collect()}
+    best = _modularity(edges, of)
+    assert best == pytest.approx(G.modularity(found, df)) and best > 0.25
+    for n in of:
+        for target in {*of.values(), "new"}:
+            assert _modularity(edges, {**of, n: target}) <= best + 1e-9, (n, target)
+    for c in set(of.values()):
+        members, seen = {n for n in of if of[n] == c}, set()
+        todo = [min(members)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [b if a == x else a for a, b, _ in edges if x in (a, b) and {a, b} <= members]
+        assert seen == members
+    assert G.open_moves(found, df).count() == 0
+
+
 def test_adamic_adar_and_insights(rows):
     edges = rows("from_id int, to_id int", (1, 2), (3, 2), (4, 2), (1, 5), (3, 5))
     got = G.adamic_adar(rows("a int, b int", (1, 3), (1, 2)), edges).collect()
