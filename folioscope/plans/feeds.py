@@ -51,15 +51,11 @@ def stream_hourly(spark, sf):
 
 @plan("""with d as (select distinct user_id, (ts + interval 8 hour)::date as day from events),
 w as (select day + i::int as day, count(distinct user_id) as active from d, range(7) t(i) group by 1)
-select strftime(day, '%Y-%m-%d') as day, active, true as close from w""")
+select strftime(day, '%Y-%m-%d') as day, active from w where day::timestamp + interval 16 hour <= (select max(ts) from events) - interval 1 day""")
 def stream_weekly_active(spark, sf):
-    """Days with the exact trailing 7-day count of users, and whether the stream's sketch is within a tenth or two of it."""
-    out = _run(ST.stream_sliding(_stream(spark, sf), 7), "complete")
-    local = F.to_date(F.col("ts").cast("timestamp_ntz") + F.expr("interval 8 hours"))
-    exact = table(spark, sf, "events").select("user_id", local.alias("day")).distinct()
-    exact = exact.select("user_id", F.explode(F.sequence("day", F.date_add("day", 6))).alias("day")).groupBy("day").agg(F.count_distinct("user_id").alias("exact"))
-    close = F.abs(F.col("active") - F.col("exact")) <= F.greatest(F.lit(2.0), F.col("exact") * 0.1)
-    return out.join(exact, "day", "full").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("exact").alias("active"), F.coalesce(close, F.lit(False)).alias("close"))
+    """The stream's own count of distinct users of trailing 7 days, for days that no late event can change."""
+    out = _run(ST.stream_exact_active(_stream(spark, sf), 7), "append")
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "active")
 
 
 SESSIONS = """k as (select (props->>'$.k')::bigint as page_id, ts from events), g as (select *, case when ts - lag(ts) over w <= interval 2 hour then 0 else 1 end as fresh from k window w as (partition by page_id order by ts)),
@@ -202,6 +198,20 @@ def log_windows(spark, sf):
     return _shown(out, "start").withColumn("latency_mean", F.round("latency_mean", 6))
 
 
+@plan("""select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as lines, count(*) filter (where event_type = 'error') as server_errors, round(avg(value), 6) as latency_mean, max(value) as latency_max,
+ (select count(*) from events where event_type = 'click') as malformed from events where event_type <> 'click' group by 1""")
+def stream_log_windows(spark, sf):
+    """The same over a stream of text files; lines of clicks are cut off in the middle and kept apart."""
+    folder = scratch_folder(spark, "lines")
+    lines = _log_lines(spark, sf)
+    click = F.get_json_object("value", "$.req.url") == "/click"
+    lines.select(F.when(click, F.substring("value", 1, 25)).otherwise(F.col("value")).alias("value")).write.text(folder)
+    good, bad = FE.split_logs(spark.readStream.schema("value string").text(folder))
+    out, apart = _run(ST.log_windows(good, "1 hour"), "complete"), _run(bad, "append")
+    shown = _shown(out, "start").withColumn("latency_mean", F.round("latency_mean", 6))
+    return shown.withColumn("malformed", apart.agg(F.count("*")).scalar())
+
+
 @plan("select event_id, case when event_type in ('view', 'click') then 'page_view' when event_type = 'error' then 'agent_op' else 'space_deleted' end as event, case event_type when 'view' then 'view' when 'click' then 'other' when 'error' then substr(repeat('op.', 40), 1, 64) end as route, strftime(ts, '%Y-%m-%d') as day from events")
 def event_rows(spark, sf):
     kind = F.col("event_type")

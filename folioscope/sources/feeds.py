@@ -30,6 +30,13 @@ def flatten_logs(lines: DataFrame) -> DataFrame:
     )
 
 
+def split_logs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flat rows of the JSON lines that carry a time, and the lines (value) that do not or that no JSON is; works on streams too."""
+    flat = flatten_logs(lines)
+    good = F.col("time").try_cast("timestamp").isNotNull()
+    return flat.filter(good), flat.filter(~good).select(F.col("raw").alias("value"))
+
+
 def read_logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     reader = spark.readStream if stream else spark.read
     return flatten_logs(reader.format("text").load(path))
@@ -77,4 +84,4 @@ def publish_chunks(artifacts: DataFrame, tables: dict[str, DataFrame], path: str
     return Snapshots(artifacts.sparkSession, path, "artifact_id").replace({"pages": artifacts, **tables}, artifacts.select("artifact_id"))
 
 
-__all__ = ["append_events", "export_sources", "flatten_logs", "prepare_events", "publish_chunks", "read_logs", "read_table", "replace_by_key", "replace_in_table"]
+__all__ = ["append_events", "export_sources", "flatten_logs", "prepare_events", "publish_chunks", "read_logs", "read_table", "replace_by_key", "replace_in_table", "split_logs"]

@@ -45,6 +45,18 @@ def stream_sliding(events: DataFrame, days: int, late: str = "1 day", offset: st
     )
 
 
+def stream_exact_active(events: DataFrame, days: int, late: str = "1 day", offset: str = ZONE_OFFSET) -> DataFrame:
+    """(day, active): exact distinct users of the trailing days, one window per local day, once no event can change it any more.
+
+    The state keeps each user once per open window; a closed window goes on as its users, which are then counted. Append mode.
+    """
+    timed = events.withColumn("at", _instant("ts")).withWatermark("at", late)
+    seen = timed.groupBy("user_id", F.window("at", f"{days} days", "1 day", offset).alias("w")).agg(F.count("*").alias("n"))
+    return seen.groupBy("w").agg(F.count("*").alias("active")).select(
+        F.date_sub(F.to_date(F.expr(f"w.end + interval 24 hours - interval {offset}")), 1).alias("day"), "active"
+    )
+
+
 def debounce(changes: DataFrame, quiet: str = QUIET, late: str = "1 hour") -> DataFrame:
     """changes(page_id, ts): bursts of changes per page with the time they may be compiled.
 
