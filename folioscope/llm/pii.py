@@ -19,11 +19,18 @@ RULES = {
 }
 PART = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])?"
 BYTES = f"^(?:{PART})(?:\\.{PART}){{3}}$"
-# A word with a digit, from its first character.
-CANDIDATE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
+# Candidates: a word with a sign for "at", in plain or in a bracket; else a run of digit groups with one or two separators
+# between them, which may begin with + or an open bracket; else a word that begins with a letter and holds a digit.
+AT = "(?:@|\\(at\\)|\\[at\\])"
+CANDIDATE = (
+    f"(?<![^\\x20\\x09-\\x0D])(?:(?!{AT})[^\\x20\\x09-\\x0D])++{AT}[^\\x20\\x09-\\x0D]++"
+    "|(?<![0-9A-Za-z])[+(]{0,2}[0-9]++(?:[\\x20().:/-]{1,2}[0-9]++)*+[A-Za-z]*+"
+    "|(?<![^\\x20\\x09-\\x0D])[A-Za-z][^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
+)
 LEFT_WORD, RIGHT_WORD = "([^\\x20\\x09-\\x0D]++)[\\x20\\x09-\\x0D]*+$", "^[\\x20\\x09-\\x0D]*+([^\\x20\\x09-\\x0D]++)"
-FEWEST_DIGITS = 5
-AROUND = 40
+# Digits that a candidate without a sign for "at" has at least, and characters on both sides that a neighbouring word is taken from.
+FEWEST_DIGITS = 4
+AROUND = 200
 
 
 def digits_of(hit: Column) -> Column:
@@ -51,19 +58,25 @@ def base_spans(text: Column) -> Column:
     return in_order(F.filter(F.concat(*[find_spans(text, kind, rule) for kind, rule in RULES.items()]), valid), KINDS)
 
 
+def shape_of(c: Column) -> Column:
+    """Digits as 9, letters as a, other signs as they are; all signs for "at" as one."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), AT, "@"), "[0-9]++", "9"), "[a-z]++", "a")
+
+
 def candidates(text: Column, base: Column) -> Column:
-    """Words with FEWEST_DIGITS digits, without signs at either end, with the words before and behind, the shape, and the
-    kind of a base span they lie in."""
-    words = F.filter(find_spans(text, "word", CANDIDATE, AROUND), lambda s: F.length(digits_of(s["hit"])) >= FEWEST_DIGITS)
+    """Whole runs that may be identifiers, without signs at either end, with the words before and behind as the text has them,
+    the shape, and the kind of a base span they touch. A neighbouring word with digits stands for its shape."""
+    words = F.filter(find_spans(text, "word", CANDIDATE, AROUND), lambda s: (F.length(digits_of(s["hit"])) >= FEWEST_DIGITS) | s["hit"].rlike(AT))
 
     def context(s: Column) -> Column:
-        core = F.regexp_extract(s["hit"], "[A-Za-z0-9+].*[A-Za-z0-9]", 0)
-        first = s["start"] + F.length(F.regexp_extract(s["hit"], "^[^A-Za-z0-9+]*+", 0))
+        core = F.regexp_extract(s["hit"], "[A-Za-z0-9+(].*[A-Za-z0-9]", 0)
+        first = s["start"] + F.length(F.regexp_extract(s["hit"], "^[^A-Za-z0-9+(]*+", 0))
         over = F.filter(base, lambda b: (b["start"] < s["stop"]) & (b["stop"] > s["start"]))
+        beside = lambda side, rule: F.regexp_replace(F.lower(F.regexp_extract(s[side], rule, 1)), "[0-9]++", "9")
         return F.struct(
             first.alias("start"), (first + F.length(core)).alias("stop"), core.alias("surface"),
-            F.lower(F.regexp_extract(s["before"], LEFT_WORD, 1)).alias("before"), F.lower(F.regexp_extract(s["behind"], RIGHT_WORD, 1)).alias("behind"),
-            F.regexp_replace(F.regexp_replace(core, "[0-9]++", "9"), "[A-Za-z]++", "a").alias("shape"), F.get(over, F.lit(0))["kind"].alias("kind"),
+            beside("before", LEFT_WORD).alias("before"), beside("behind", RIGHT_WORD).alias("behind"),
+            shape_of(core).alias("shape"), F.get(over, F.lit(0))["kind"].alias("kind"),
         )
 
     return F.transform(words, context)
@@ -95,8 +108,8 @@ def find_personal_data(
 ) -> DataFrame:
     """Columns doc, base, spans (array<struct<kind, start, stop, hit>>); one row per input row.
 
-    base: matches of the fixed patterns that are valid. spans: base and what contexts add. Words with digits are the
-    instances; a pattern is an instance's shape with the word before it, or with the word behind it, or both. Instances in
+    base: matches of the fixed patterns that are valid. spans: base and what contexts add. Runs of digit groups, words with a sign
+    for "at" and words with digits are the instances, whole; a pattern is an instance's shape with the word before it, or with the word behind it, or both. Instances in
     base spans are seeds. After `rounds` rounds over the graph of patterns and instances, patterns of `trust` and `support`
     distinct seeds name every further instance they hold; an instance that several kinds claim takes the best score.
 

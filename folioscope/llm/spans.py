@@ -40,7 +40,10 @@ def find_spans(text: Column, kind: str, pattern: str, around: int = 0) -> Column
 
     def placed(hits: Column, gaps: Column) -> Column:
         steps = F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(hits, i - 1))).otherwise(F.lit(0)))
-        beside = lambda i: [F.right(F.get(gaps, i), F.lit(around)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(around)).alias("behind")]
+        hit = lambda i: F.coalesce(F.when((i >= 0) & (i < F.size(hits)), F.get(hits, i)), F.lit(""))
+        before = lambda i: F.right(F.concat(hit(i - 1), F.get(gaps, i)), F.lit(around))
+        behind = lambda i: F.left(F.concat(F.get(gaps, i + 1), hit(i + 1)), F.lit(around))
+        beside = lambda i: [before(i).alias("before"), behind(i).alias("behind")]
         return let(running_sum(steps), lambda s: F.transform(hits, lambda h, i: F.struct(
             F.lit(kind).alias("kind"), F.get(s, i).alias("start"), (F.get(s, i) + F.length(h)).alias("stop"), h.alias("hit"), *(beside(i) if around else []),
         )))

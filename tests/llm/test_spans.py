@@ -96,6 +96,10 @@ def test_contexts_find_what_patterns_miss(spark):
     got = {r["doc"]: [(s["kind"], s["hit"]) for s in r["spans"]] for r in pii.find_personal_data(docs).collect()}
     assert got[0] == [("phone", "+1 (555) 555-7700")] and got[300] == []
     assert got[101] == []
+    cards = [(i, f"pay by card 4539 1488 0343 {n} please") for i, n in enumerate(x for x in range(6000, 7000) if luhn(f"453914880343{x}"))]
+    wrong = [(1000, "pay by card 4539 1488 0343 6468 please"), (1001, "table 4539 1488 0343 6468 of results")]
+    got = {r["doc"]: [(s["kind"], s["hit"]) for s in r["spans"]] for r in pii.find_personal_data(spark.createDataFrame(cards + wrong, "doc_id long, text string")).collect()}
+    assert len(cards) > 50 and got[0][0][0] == "card" and got[1000] == [("card", "4539 1488 0343 6468")] and got[1001] == []
     ipv = [(i, f"host 10.0.0.{i} is up") for i in range(9)] + [(50, "host 10.0.0.999 is up"), (51, "score 10.0.0.999 of all")]
     got = {r["doc"]: [(s["kind"], s["start"], s["stop"]) for s in r["spans"]] for r in pii.find_personal_data(spark.createDataFrame(ipv, "doc_id long, text string")).collect()}
     assert got[50] == [("ip", 5, 15)] and got[51] == []
@@ -111,3 +115,37 @@ def test_ledger_scans_only_unseen_blobs(spark, tmp_path):
     assert [s["kind"] for r in secrets.find_secrets(more, ledger).filter("row.path = 'c'").collect() for s in r["spans"]] == ["jwt"]
     assert spark.read.parquet(ledger).count() == 3
     assert secrets.find_secrets(more.limit(0), ledger).count() == 0
+
+
+def test_masked_seeds_are_found_again_by_their_contexts(spark):
+    """A tenth of the identifiers is spoilt so that no fixed pattern has them; most are found, and none where the same signs stand elsewhere."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    filler = lambda: " ".join(letters(rng.randint(3, 8)) for _ in range(6))
+    make = {
+        "email": lambda: (f"{letters(4)}@{letters(5)}.example.org", "write to", lambda t: t.replace("@", "(at)")),
+        "ip": lambda: (".".join(str(rng.randint(1, 255)) for _ in range(4)), "server", lambda t: t.rsplit(".", 1)[0] + ".777"),
+        "phone": lambda: (f"+{rng.randint(1, 99)} (0{rng.randint(10, 99)}) 555-{rng.randint(1000, 9999)}", "phone", lambda t: t + str(rng.randint(10**19, 10**20))),
+    }
+    docs, masked = [], {}
+    for i in range(360):
+        kind = rng.choice(list(make))
+        value, lead, spoil = make[kind]()
+        if i % 10 == 3:
+            value = spoil(value)
+            masked[i] = (kind, value)
+        docs.append((i, f"{filler()} {lead} {value} {filler()}"))
+    docs += [(1000 + i, f"{filler()} {letters(9)} {make['ip']()[2]('1.2.3.4')} {filler()}") for i in range(20)]
+    got = {r["doc"]: ([(s["kind"], s["hit"]) for s in r["base"]], [(s["kind"], s["hit"]) for s in r["spans"]]) for r in pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(not got[i][0] for i in masked)
+    recall = sum(masked[i] in got[i][1] for i in masked) / len(masked)
+    assert recall > 0.9, recall
+    assert all(got[1000 + i][1] == [] for i in range(20))
+
+
+def test_personal_data_in_odd_tables(spark):
+    rows = [(1, "mail a@b.c now", "x", 1), (1, "mail a@b.c now", "x", 1), (2, None, "y", 2), (None, "", "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, base int")
+    got = sorted((r["doc"] or 0, [s["hit"] for s in r["spans"]]) for r in pii.find_personal_data(docs).collect())
+    assert got == [(0, []), (1, ["a@b.c"]), (1, ["a@b.c"]), (2, [])]
+    assert pii.find_personal_data(docs.limit(0)).count() == 0
