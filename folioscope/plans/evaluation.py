@@ -9,6 +9,7 @@ from folioscope.operators import diagnostics as D
 from folioscope.operators import evaluate as E
 from folioscope.operators import evidence as EV
 from folioscope.plans.registry import plan, table
+from folioscope.plans.stage import said_by_role
 
 UNAVAILABLE = ["O"]
 
@@ -221,7 +222,7 @@ def _predictions(spark, sf):
 def _references(spark, sf):
     turns = _turns(spark, sf).select("key", F.col("text").alias("reference"))
     shifted = turns.select((F.col("key") + 1).alias("sample_id"), "reference").union(turns.select(F.col("key") - 1, "reference")).union(
-        turns.select("key", F.substring("reference", 1, 60))
+        turns.select(F.col("key") + 2, "reference")
     )
     return shifted.join(_predictions(spark, sf).select("sample_id"), "sample_id", "left_semi")
 
@@ -230,7 +231,7 @@ NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\
 # articles may stand side by side, so they are dropped as tokens
 TOK = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda t: t not in ('', 'a', 'an', 'the'))"
 ANSWERS = f"""turns as (select conv_id * 1000 + turn as key, role, text from conversations), pred as (select key as sample_id, text as prediction from turns where role = 'assistant'),
-refs0 as (select key + 1 as sample_id, text as reference from turns union all select key - 1, text from turns union all select key, substr(text, 1, 60) from turns),
+refs0 as (select key + 1 as sample_id, text as reference from turns union all select key - 1, text from turns union all select key + 2, text from turns),
 refs as (select distinct * from refs0 where sample_id in (select sample_id from pred)),
 pr as (select sample_id, reference, {TOK.format('prediction')} as a, {TOK.format('reference')} as b from pred join refs using (sample_id)),
 ta as (select sample_id, reference, t, count(*) as n from (select sample_id, reference, unnest(a) as t from pr) group by 1, 2, 3), tb as (select sample_id, reference, t, count(*) as n from (select sample_id, reference, unnest(b) as t from pr) group by 1, 2, 3),
@@ -460,14 +461,13 @@ def claims_retrieved(spark, sf):
     return AT.claim_retrieved(_steps(spark, sf), _evidence(spark, sf))
 
 
-@plan(f"""with {STEPS}, lineage as (select conv_id as doc_id, max(case when turn = 1 then text end) as st, max(case when turn = 3 then text end) as ct from conversations group by 1),
+@plan(f"""with {STEPS}, lineage as (select conv_id as doc_id, string_agg(text, ' ' order by turn) filter (where role = 'user') as st, string_agg(text, ' ' order by turn) filter (where role = 'assistant') as ct from conversations group by 1),
 l as (select doc_id, coalesce({at_tokens('st')}, []) as st, coalesce({at_tokens('ct')}, []) as ct from lineage),
 r as (select k.sample_id, position, doc_id, list_distinct(a) as a, st, ct from tk k left join l on doc_id = k.sample_id),
 v as (select sample_id, position, doc_id, case when len(a) = 0 then 0 else len(list_filter(a, lambda x: list_contains(st, x))) / len(a) end as sr, case when len(a) = 0 then 0 else len(list_filter(a, lambda x: list_contains(ct, x))) / len(a) end as cr from r)
 select sample_id, position, doc_id, round(sr, 6) as source_recall, round(cr, 6) as compiled_recall, case when sr >= 0.5 and cr >= 0.5 then 'preserved' when sr >= 0.5 then 'compiled_missing' when cr >= 0.5 then 'compiled_only' else 'source_missing' end as status from v""")
 def compiled_answers(spark, sf):
-    turn = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
-    lineage = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(turn(1).alias("source_text"), turn(3).alias("compiled_text"))
+    lineage = said_by_role(table(spark, sf, "conversations")).select(F.col("conv_id").alias("doc_id"), F.col("user").alias("source_text"), F.col("assistant").alias("compiled_text"))
     steps = _steps(spark, sf).withColumn("doc_id", F.col("sample_id"))
     out = AT.compiled_answers(steps, lineage)
     return out.withColumns({"source_recall": F.round("source_recall", 6), "compiled_recall": F.round("compiled_recall", 6)})

@@ -267,11 +267,11 @@ def dataset_validation(spark, sf):
     return D.validate_dataset(samples, gold, corpus)
 
 
-@plan(r"""with d as (select doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents) select doc_id from d where lang <> 'de' and length(substr(t, 20, 60)) > 0 and trim(substr(t, 20, 60)) <> '' """)
+@plan(r"""with d as (select doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents) select doc_id from d where lang <> 'de' and t <> ''""")
 def verified_evidence(spark, sf):
     docs = table(spark, sf, "documents")
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
-    quote = F.when(F.col("lang") == "de", F.concat(F.substring(flat, 20, 60), F.lit("¤"))).otherwise(F.substring(flat, 20, 60))
+    quote = F.when(F.col("lang") == "de", F.concat(flat, F.lit("¤"))).otherwise(flat)
     items = docs.select(F.col("doc_id"), F.lit("q").alias("question"), F.lit("a").alias("answer"), F.array(quote, F.lit(" ")).alias("quotes"))
     return D.verified_evidence(items, docs).select("doc_id")
 

@@ -9,6 +9,7 @@ from folioscope.operators import chunks as C
 from folioscope.operators import provenance as V
 from folioscope.operators.paging import latest_per_key
 from folioscope.plans.registry import plan, table
+from folioscope.plans.stage import said_by_role
 
 
 def _docs(spark, sf):
@@ -373,18 +374,15 @@ def words_sql(text: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z][A-Za-z0-9''\\-]*'), lambda w: lower(w)), lambda w: not list_contains({STOP_SQL}, w))"
 
 
-@plan(f"""with c as (select conv_id, max(case when turn = 0 then text end) as a, max(case when turn = 1 then text end) as b from conversations group by 1),
+@plan(f"""with c as (select conv_id, string_agg(text, ' ' order by turn) filter (where role = 'user') as a, string_agg(text, ' ' order by turn) filter (where role = 'assistant') as b from conversations group by 1),
 w as (select conv_id, a, b, {words_sql('a')} as wa, {words_sql('b')} as wb from c where a is not null and b is not null),
 d as (select *, list_sort(list_distinct(wa)) as da, list_sort(list_distinct(wb)) as db from w)
 select conv_id, length(a)::bigint as source_chars, length(b)::bigint as compiled_chars, round(length(b) / length(a), 6) as expansion_ratio, len(wa)::bigint as source_words, len(wb)::bigint as compiled_words,
 array_to_string(list_filter(da, lambda x: not list_contains(db, x)), ' ') as dropped, array_to_string(list_filter(db, lambda x: not list_contains(da, x)), ' ') as added,
 len(list_intersect(da, db))::bigint as kept, round(case when len(da) > 0 then len(list_intersect(da, db)) / len(da) end, 6) as retention from d""")
 def vocabulary_loss(spark, sf):
-    turns = table(spark, sf, "conversations")
-    pairs = turns.groupBy("conv_id").agg(
-        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("source_text"),
-        F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("compiled_text"),
-    ).filter(F.col("source_text").isNotNull() & F.col("compiled_text").isNotNull())
+    sides = said_by_role(table(spark, sf, "conversations"))
+    pairs = sides.select("conv_id", F.col("user").alias("source_text"), F.col("assistant").alias("compiled_text")).filter("source_text is not null and compiled_text is not null")
     out = V.vocabulary_change(pairs)
     return out.withColumns(
         {

@@ -431,18 +431,16 @@ def expandable_parents(spark, sf):
 
 
 def _refs(spark, sf):
-    """Every document is cited twice over: a range of 200 characters and one that leaves the text."""
+    """The whole of every document is cited in ranges of 300 characters that overlap, the first range twice; the last ones leave the text."""
     docs = table(spark, sf, "documents")
-    spans = F.array(
-        F.struct(F.lit(0).alias("start"), F.lit(200).alias("stop")), F.struct(F.lit(100).alias("start"), F.lit(400).alias("stop")),
-        F.struct(F.lit(100).alias("start"), F.lit(400).alias("stop")),
-    )
+    starts = F.concat(F.sequence(F.lit(0), F.length("text"), F.lit(200)), F.array(F.lit(0)))
+    spans = F.transform(starts, lambda s: F.struct(s.alias("start"), (s + 300).alias("stop")))
     rows = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("source_id"), "text", "lang", F.inline(spans))
     quoted = X.quote_hash(F.expr("substring(text, start + 1, stop - start)"))
     return rows.select("query_id", "source_id", "start", "stop", F.when(F.col("lang") != "de", quoted).otherwise("sha256:0").alias("quote_hash"))
 
 
-WINDOWS = "win as (select source as query_id, doc_id as source_id, start, stop, substr(text, start + 1, stop - start) as text from documents, (values (0, 200), (100, 400)) s(start, stop) where stop <= length(text) and lang <> 'de')"
+WINDOWS = "win as (select source as query_id, doc_id as source_id, start, stop, substr(text, start + 1, stop - start) as text from (select *, start + 300 as stop from (select *, unnest(range(0, length(text) + 1, 200)) as start from documents)) where stop <= length(text) and lang <> 'de')"
 
 
 @plan(f"with {WINDOWS} select query_id, source_id, start, stop, text from win")

@@ -219,3 +219,11 @@ grants as (select page_id, user_id, bool_or(role = 'writer') as can_write from (
   union all select page_id, s_suppkey, role from permission join supplier on s_nationkey = group_id) group by 1, 2)"""
 WITH_TREE = f"with recursive {TREE_SQL}, {UP_SQL}"
 WITH_ACCESS = f"{WITH_TREE}, {ACCESS_SQL}, needed as (select u.page_id, u.anc, u.depth from up u join restricted r on r.page_id = u.anc)"
+
+
+def said_by_role(turns):
+    """(conv_id, user, assistant): all turns of each side in order, null where a side says nothing."""
+    said = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text"))))
+    joined = lambda name: F.when(F.size(name) > 0, F.array_join(F.transform(name, lambda t: t["text"]), " ")).alias(name)
+    both = turns.groupBy("conv_id").agg(said("user").alias("user"), said("assistant").alias("assistant"))
+    return both.select("conv_id", joined("user"), joined("assistant"))

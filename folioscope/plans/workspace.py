@@ -163,6 +163,9 @@ def acl_levels(spark, sf):
     return AC.access_levels(S.tree_pages(spark, sf), S.tree_access(spark, sf), _grants(spark, sf), READER)
 
 
+NATION = "NATION_7"
+
+
 @plan(f"""{S.WITH_ACCESS}, per as (select n.page_id, count(*) as needed_n from needed n group by 1),
 ok as (select n.page_id, g.user_id from needed n join grants g on g.page_id = n.anc join per p on p.page_id = n.page_id group by n.page_id, g.user_id, needed_n having count(*) = needed_n),
 opened as (select user_id, count(*) as n from ok group by 1)
@@ -179,13 +182,17 @@ def users_with_access(spark, sf):
     return AC.users_with_access(pages, S.tree_access(spark, sf), _grants(spark, sf), pages)
 
 
+NATION = "NATION_7"
+
+
 @plan(f"""{S.WITH_ACCESS}, per as (select n.page_id, count(*) as needed_n from needed n group by 1),
 ok as (select n.page_id, g.user_id from needed n join grants g on g.page_id = n.anc join per p on p.page_id = n.page_id group by n.page_id, g.user_id, needed_n having count(*) = needed_n)
-select t.page_id, s_suppkey as user_id from tree t, supplier where s_suppkey % 25 = 7 and (t.page_id not in (select page_id from per) or (t.page_id, s_suppkey) in (select (page_id, user_id) from ok))""")
+select t.page_id, s_suppkey as user_id from tree t, supplier join nation on n_nationkey = s_nationkey where n_name = '{NATION}' and (t.page_id not in (select page_id from per) or (t.page_id, s_suppkey) in (select (page_id, user_id) from ok))""")
 def users_with_access_listed(spark, sf):
     """Every page with its readers among the users of one country, open pages included."""
     pages = S.tree_pages(spark, sf)
-    users = table(spark, sf, "supplier").filter("s_suppkey % 25 = 7").select(F.col("s_suppkey").alias("user_id"))
+    nation = table(spark, sf, "nation").filter(F.col("n_name") == NATION).select(F.col("n_nationkey").alias("s_nationkey"))
+    users = table(spark, sf, "supplier").join(nation, "s_nationkey").select(F.col("s_suppkey").alias("user_id"))
     return AC.users_with_access(pages, S.tree_access(spark, sf), _grants(spark, sf), pages, users)
 
 
