@@ -470,17 +470,18 @@ def raw_windows(spark, sf):
     return CX.rank_raw_windows(_asked(spark, sf), windows).select("query_id", "source_id", "start", "stop", F.col("score").cast("long").alias("score"), "rank")
 
 
-@plan(f"""with {ASKED}, rw as (select source as query_id, doc_id as source_id, start, stop, substr(text, start + 1, stop - start) as text from documents, (values (0, 60), (60, 120), (120, 180)) s(start, stop) where stop <= length(text)),
+@plan(f"""with {ASKED}, rw as (select source as query_id, doc_id as source_id, start, stop, substr(text, start + 1, stop - start) as text from (select *, start + 60 as stop from (select *, unnest(range(0, length(text) + 1, 60)) as start from documents)) where stop <= length(text)),
 sc as (select *, {SCORE.format(EVIDENCE, 'lower(text)')} as score from rw join asked using (query_id)), best as (select query_id, source_id, start, stop from sc qualify score = max(score) over (partition by query_id, source_id)),
-w as (select source as query_id, doc_id as source_id, start, stop from documents, (values (0, 200), (100, 400), (0, 60)) s(start, stop)),
+w as (select source as query_id, doc_id as source_id, start, start + 300 as stop from (select *, unnest(range(0, length(text) + 1, 200)) as start from documents) union select source, doc_id, 0, 60 from documents),
 plain as (select * from w except select query_id, source_id, start, stop from rw), m as (select p.*, b.start as rs, b.stop as rp from plain p left join best b on b.query_id = p.query_id and b.source_id = p.source_id and p.start <= b.start and p.stop >= b.stop)
 select query_id, source_id, start, stop from w where (query_id, source_id, start, stop) in (select query_id, source_id, start, stop from best)
 union select query_id, source_id, coalesce(rs, start), coalesce(rp, stop) from m""")
 def table_row_windows(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("source_id"), "text")
-    span = lambda *pairs: F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in pairs])
-    windows = docs.select("query_id", "source_id", F.inline(span((0, 200), (100, 400), (0, 60))))
-    rows = docs.select("query_id", "source_id", "text", F.inline(span((0, 60), (60, 120), (120, 180)))).filter(F.col("stop") <= F.length("text"))
+    spans = lambda step, size: F.transform(F.sequence(F.lit(0), F.length("text"), F.lit(step)), lambda s: F.struct(s.alias("start"), (s + size).alias("stop")))
+    first = F.array(F.struct(F.lit(0).alias("start"), F.lit(60).alias("stop")))
+    windows = docs.select("query_id", "source_id", F.inline(F.concat(spans(200, 300), first)))
+    rows = docs.select("query_id", "source_id", "text", F.inline(spans(60, 60))).filter(F.col("stop") <= F.length("text"))
     rows = rows.withColumn("text", F.expr("substring(text, start + 1, stop - start)"))
     return CX.narrow_to_table_rows(_asked(spark, sf), windows, rows)
 
