@@ -71,15 +71,15 @@ def _modularity(edges, of):
 
 def test_settled_communities_have_no_open_move_and_hang_together(spark):
     rng = random.Random(4)
-    pairs = {tuple(sorted((rng.randrange(40), rng.randrange(40)))) for _ in range(70)} | {(a, b) for g in (0, 10, 20) for a in range(g, g + 6) for b in range(a + 1, g + 6)}
+    pairs = {tuple(sorted((rng.randrange(16), rng.randrange(16)))) for _ in range(12)} | {(a, b) for g in (0, 5, 10) for a in range(g, g + 4) for b in range(a + 1, g + 4)}
     edges = [(a, b, float(rng.randint(1, 3))) for a, b in sorted(pairs) if a != b]
     df = spark.createDataFrame(edges, "a int, b int, weight double")
-    start = spark.range(40).select(F.col("id").cast("int").alias("node"), (F.col("id") % 20).alias("community"))  # pairs that are no community
+    start = spark.range(16).select(F.col("id").cast("int").alias("node"), (F.col("id") % 8).alias("community"))  # pairs that are no community
     assert G.open_moves(start, df).count() > 0
     found = G.settle(start, df)
     of = {r["node"]: r["community"] for r in found.collect()}
     best = _modularity(edges, of)
-    assert best == pytest.approx(G.modularity(found, df)) and best > 0.25
+    assert best == pytest.approx(G.modularity(found, df)) and best > 0.2
     for n in of:
         for target in {*of.values(), "new"}:
             assert _modularity(edges, {**of, n: target}) <= best + 1e-9, (n, target)
