@@ -85,10 +85,10 @@ def compiled_answers(steps: DataFrame, lineage: DataFrame) -> DataFrame:
     return rows.withColumn("status", status)
 
 
-def usable_references(references: DataFrame) -> DataFrame:
-    rows = references.select("sample_id", tokens_of(F.col("reference")).alias("tokens"))
-    weak = (F.size("tokens") == 1) & F.col("tokens")[0].isin(WEAK_REFERENCES)
-    return rows.filter((F.size("tokens") > 0) & ~weak)
+def usable_references(references: DataFrame, weak: list[str] = WEAK_REFERENCES) -> DataFrame:
+    """References that have tokens, but for those of one token among `weak`."""
+    rows = references.select("sample_id", tokens_of(F.col("reference")).alias("tokens")).filter(F.size("tokens") > 0)
+    return rows.filter((F.size("tokens") > 1) | ~F.col("tokens")[0].isin(weak)) if weak else rows
 
 
 def covered(context: Column, tokens: Column) -> Column:
@@ -96,9 +96,9 @@ def covered(context: Column, tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: F.array_contains(context, t))) / F.size(tokens) >= REFERENCE_RECALL
 
 
-def reference_grounding(references: DataFrame, evidence: DataFrame) -> DataFrame:
+def reference_grounding(references: DataFrame, evidence: DataFrame, weak: list[str] = WEAK_REFERENCES) -> DataFrame:
     """(sample_id, references, matched, status) for samples that have usable references and evidence."""
-    rows = usable_references(references).join(evidence_tokens(evidence), "sample_id")
+    rows = usable_references(references, weak).join(evidence_tokens(evidence), "sample_id")
     return (
         rows.groupBy("sample_id")
         .agg(F.count("*").alias("references"), F.count_if(covered(F.col("context"), F.col("tokens"))).alias("matched"))

@@ -44,3 +44,8 @@ def test_schedules_of_keys_below_zero_and_beyond_doubles(agree, query):
     keys = [-41, -7, -1, 0, 19, 20 * 2**53 - 1]
     events = [(i, datetime(2024, 1, 2) + timedelta(hours=i), 1, "view", 1.0, f'{{"k": {k}}}') for i, k in enumerate(keys)]
     assert agree(query, events=events, region=[(i, "R") for i in range(5)])
+
+
+def test_grounding_counts_a_lone_stop_word(agree):
+    turns = [(1, 0, "user", "of the a b"), (1, 1, "assistant", "one of them"), (2, 0, "user", "Red fox ran"), (2, 1, "assistant", "a red fox")]
+    assert sorted(agree("reference_grounding", conversations=turns)) == [(1, 1, 1, "grounded"), (2, 1, 1, "grounded")]
