@@ -326,10 +326,10 @@ def reuse_candidates(spark, sf):
     line, orders, customer = (table(spark, sf, n) for n in ("lineitem", "orders", "customer"))
     attempts = line.select(
         F.col("l_suppkey").alias("page_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("attempt_id"),
-        (F.col("l_quantity").cast("int") % 51).alias("source_version"), F.lit("h").alias("content_hash"),
+        (F.rint("l_quantity").cast("int") % 51).alias("source_version"), F.lit("h").alias("content_hash"),
     )
     sources = customer.select(
-        F.col("c_custkey").alias("page_id"), (F.round("c_acctbal").cast("int") % 51).alias("source_version"), F.lit("h").alias("content_hash"),
+        F.col("c_custkey").alias("page_id"), (F.rint("c_acctbal").cast("int") % 51).alias("source_version"), F.lit("h").alias("content_hash"),
         F.lit(None).cast("string").alias("stale_at"),
     )
     contrib = orders.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("artifact_id"))

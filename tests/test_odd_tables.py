@@ -46,6 +46,12 @@ def test_schedules_of_keys_below_zero_and_beyond_doubles(agree, query):
     assert agree(query, events=events, region=[(i, "R") for i in range(5)])
 
 
+def test_reuse_rounds_halves_to_even(agree):
+    customer = [(1, "c", 0, 2.5, "x"), (2, "c", 0, 3.5, "x")]
+    line = [(1, 1, 1, 1, 2.0, "A"), (1, 1, 2, 2, 4.0, "A")]
+    assert sorted(agree("reuse_candidates", customer=customer, orders=[(1, 1), (2, 2)], lineitem=line)) == [(1,), (2,)]
+
+
 def test_grounding_counts_a_lone_stop_word(agree):
     turns = [(1, 0, "user", "of the a b"), (1, 1, "assistant", "one of them"), (2, 0, "user", "Red fox ran"), (2, 1, "assistant", "a red fox")]
     assert sorted(agree("reference_grounding", conversations=turns)) == [(1, 1, 1, "grounded"), (2, 1, 1, "grounded")]
