@@ -55,3 +55,16 @@ def test_reuse_rounds_halves_to_even(agree):
 def test_grounding_counts_a_lone_stop_word(agree):
     turns = [(1, 0, "user", "of the a b"), (1, 1, "assistant", "one of them"), (2, 0, "user", "Red fox ran"), (2, 1, "assistant", "a red fox")]
     assert sorted(agree("reference_grounding", conversations=turns)) == [(1, 1, 1, "grounded"), (2, 1, 1, "grounded")]
+
+
+def test_evidence_quotes_whole_documents(agree, monkeypatch):
+    from folioscope.sources import datasets
+
+    asked = []
+    verify = datasets.verified_evidence
+    monkeypatch.setattr(datasets, "verified_evidence", lambda items, docs: (asked.append(items), verify(items, docs))[1])
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = [(1, text, "en", "s", 0), (2, text, "de", "s", 0), (3, " \n ", "en", "s", 0), (4, None, "en", "s", 0)]
+    assert agree("verified_evidence", documents=docs) == [(1,)]
+    quotes = next(r["quotes"] for r in asked[0].collect() if r["doc_id"] == 1)
+    assert len(quotes) == -(-len(text) // 60) + 1 and "".join(quotes).replace(" ", "") == text.replace(" ", "")
