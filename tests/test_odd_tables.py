@@ -68,3 +68,16 @@ def test_evidence_quotes_whole_documents(agree, monkeypatch):
     assert agree("verified_evidence", documents=docs) == [(1,)]
     quotes = next(r["quotes"] for r in asked[0].collect() if r["doc_id"] == 1)
     assert len(quotes) == -(-len(text) // 60) + 1 and "".join(quotes).replace(" ", "") == text.replace(" ", "")
+
+
+def test_row_scores_bind_the_text_once(spark):
+    """An expression inside a filter would be evaluated again for every term."""
+    from pyspark.sql import functions as F
+
+    from folioscope.operators.context import term_score
+
+    df = spark.createDataFrame([(["ab", "zz", "x1"], "AB X1")], "terms array<string>, text string")
+    scored = df.select(term_score(F.col("terms"), F.lower("text")).alias("score"))
+    assert scored.first()["score"] == 8
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(lower" not in plan.lower()
