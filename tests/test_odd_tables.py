@@ -81,3 +81,18 @@ def test_row_scores_bind_the_text_once(spark):
     assert scored.first()["score"] == 8
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert "contains(lower" not in plan.lower()
+
+
+def test_recipients_send_no_pairs_through_an_exchange(rows, spark):
+    from folioscope.operators.members import recipients
+
+    pages = rows("page_id long, space_id int", (1, 1), (2, 1), (3, None), (1, 1), (5, 2), (6, 1), (6, 3))
+    watching = rows("space_id int, user_id long", (1, 10), (1, 11), (1, 11), (None, 14), (2, None), (3, 11), (3, 17))
+    own = rows("page_id long, user_id long", (1, 10), (1, 12), (2, 13), (2, 13), (3, 14), (4, 15), (5, 16), (6, 17), (6, 18))
+    muted = rows("page_id long, user_id long", (1, 11), (2, 13), (5, 19))
+    found = recipients(own, pages, watching, muted)
+    want = [(1, 10), (1, 12), (2, 10), (2, 11), (3, 14), (4, 15), (5, None), (5, 16), (6, 10), (6, 11), (6, 17), (6, 18)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    # above the join of pages with watchers there is a union and no exchange
+    top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert top.startswith("Union")
