@@ -88,6 +88,9 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         .join(needed, "query_id")
         .filter(F.col("coverage") >= F.col("needed"))
     )
+    # The density adds half a term at most, so a chunk behind the k-th in coverage alone cannot come before it.
+    best = Window.partitionBy("query_id").orderBy(F.desc("coverage"))
+    hits = hits.withColumn("place", F.rank().over(best)).filter(F.col("place") <= k)
     dense = hits.join(exploded, "query_id").join(held, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(
         F.first("coverage").alias("coverage"), (F.sum("tf") / F.greatest(F.max("words"), F.lit(1))).alias("r")
     )

@@ -184,3 +184,23 @@ def test_daily_window(one, enabled, start, stop, utc, is_open, opens):
     assert one(lambda *c: clock.window_open(*at(*c)), enabled, start, stop, utc) is is_open
     got = one(lambda *c: F.date_format(clock.next_open(*at(*c)), "yyyy-MM-dd HH:mm"), enabled, start, stop, utc)
     assert got == opens
+
+
+def test_dense_products_do_not_grow_with_the_block():
+    import tracemalloc
+
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    queries, chunks = draw.normal(size=(512, 4)), draw.normal(size=(1 << 16, 4))
+    tracemalloc.start()
+    found = list(vectors._nearest(queries, chunks, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 200 << 20
+
+
+def test_dense_topk_of_many_copies_takes_the_smallest_ids(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vec array<double>")
+    c = spark.createDataFrame([(i, [2.0, 0.0] if i != 7 else [1.0, 1.0]) for i in range(50, 0, -1)], "chunk_id int, chunk_vec array<double>")
+    assert [r["chunk_id"] for r in vectors.dense_topk(q, c, 3).orderBy("rank").collect()] == [1, 2, 3]
