@@ -173,3 +173,20 @@ def test_nested_objects(rows):
     assert got[1]["creator"]["name"] == "Ann" and got[2]["creator"] is None and got[3]["creator"] is None
     assert [r["label"] for r in got[1]["labels"]] == ["a", "b"] and got[3]["labels"] == [] == got[3]["files"]
     assert [tuple(r) for r in got[2]["files"]] == [(1, None)]
+
+
+def test_groups_are_spread_only_where_nothing_narrower_is_required(rows, monkeypatch):
+    monkeypatch.setattr(A, "PAIRS", 2)
+    pages, access = _pages(rows), _access(rows, "root", "leaf", "other")
+    permissions = rows(
+        "page_id string, user_id string, group_id string, role string",
+        ("root", None, "g", "reader"), ("root", "dan", None, "reader"), ("leaf", "ann", None, "writer"), ("leaf", "eve", None, "reader"), ("leaf", None, "empty", "reader"),
+    )
+    members = rows("group_id string, user_id string", ("g", "ann"), ("g", "bob"))
+    users = rows("user_id string", ("ann",), ("bob",), ("dan",), ("eve",))
+    pairs = lambda df: sorted(tuple(r) for r in df.collect())
+    want = [("leaf", "ann"), *[(page, user) for page in ("mid", "root") for user in ("ann", "bob", "dan")]]
+    assert pairs(A.users_with_access(pages, access, permissions, pages, memberships=members)) == want
+    assert pairs(A.users_with_access(pages, access, permissions, pages, users, members)) == want + [("solo", u) for u in ("ann", "bob", "dan", "eve")]
+    counts = A.visible_counts(pages, access, permissions, users, members)
+    assert pairs(counts) == [("ann", 4), ("bob", 3), ("dan", 3), ("eve", 1)]
