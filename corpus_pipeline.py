@@ -23,7 +23,7 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles of a Jaccard similarity of 0.8."""
+    """One document of each group of near copies: SimHash links and a prefix filter over five-word shingles, decided by a Jaccard similarity of 0.8."""
     return similar.drop_similar(docs)
 
 

@@ -35,7 +35,10 @@ def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """Signed 64-bit SimHash of the word shingles of a text; bits set in over half of the hashes."""
-    hashes = shingle_hashes(text, shingle, seed)
+    return print_of(shingle_hashes(text, shingle, seed))
+
+
+def print_of(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255):  # sums of up to 255 bits fit a byte
         counts += np.unpackbits(hashes[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)

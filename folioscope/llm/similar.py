@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of their word shingles, found by a prefix filter."""
+"""Near copies by the exact Jaccard similarity of their word shingles: SimHash finds the nearest, a prefix filter the rest."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import checked_broadcast, each_text, packed, row_tag, saved
 from folioscope.llm.components import components
-from folioscope.llm.simhash import keep_heads, shingle_hashes
+from folioscope.llm.simhash import keep_heads, links as near_prints, print_of, shingle_hashes
 
 # One document in SAMPLE tells which shingles are common: those of COMMON sampled documents, LISTED at most. That only
 # orders shingles, and every order finds the same pairs.
@@ -59,20 +59,22 @@ def common_shingles(base: DataFrame, shingle: int, seed: int) -> np.ndarray:
 
 
 def sketches(base: DataFrame, common: np.ndarray, similarity: float, shingle: int, seed: int) -> DataFrame:
-    """(doc, tag, key, size, prefix): key marks the set of shingles."""
+    """(doc, tag, key, size, prefix, print): key marks the set of shingles, print is the SimHash of the text's shingles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in each_text(batches):
-            sets = [shingle_set(t, shingle, seed) for t in texts]
+            hashes = [shingle_hashes(t, shingle, seed) for t in texts]
+            prints = pa.array([print_of(h) for h in hashes], pa.int64())
+            sets = [np.unique(h) for h in hashes]
             keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
             prefixes = pa.array([prefix_of(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys), pa.array(list(map(len, sets)), pa.int32()), prefixes],
-                names=["doc", "tag", "key", "size", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(keys), pa.array(list(map(len, sets)), pa.int32()), prefixes, prints],
+                names=["doc", "tag", "key", "size", "prefix", "print"],
             )
 
     kind = base.schema["doc"].dataType.simpleString()
-    return base.select("doc", "tag", "text").mapInArrow(sketch, f"doc {kind}, tag long, key long, size int, prefix array<long>")
+    return base.select("doc", "tag", "text").mapInArrow(sketch, f"doc {kind}, tag long, key long, size int, prefix array<long>, print long")
 
 
 def shared_tokens(nodes: DataFrame) -> DataFrame:
@@ -101,6 +103,18 @@ def ordered(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter((F.col("key") != F.col("other")) & fit).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
+def print_pairs(only: DataFrame, similarity: float, radius: int, block: int) -> DataFrame:
+    """Pairs of sets (a, b) by SimHash: those of a fingerprint with its first set, and first sets of fingerprints linked within the radius. only: (key, size, print)."""
+    first = saved(only.groupBy("print").agg(F.min(F.struct("key", "size")).alias("f")).select("print", F.col("f.key").alias("other"), F.col("f.size").alias("other_size")))
+    near = near_prints(first.select("print"), radius, block)
+    head = lambda name: first.select(F.col("print").alias(name), F.col("other").alias(f"key_{name}"), F.col("other_size").alias(f"size_{name}"))
+    linked = near.join(head("a"), "a").join(head("b"), "b").select(
+        F.col("key_a").alias("key"), F.col("size_a").alias("size"), F.col("key_b").alias("other"), F.col("size_b").alias("other_size")
+    )
+    same = only.select("print", "key", "size").join(first, "print").select("key", "size", "other", "other_size")
+    return ordered(same.unionByName(linked), similarity)
+
+
 def star_pairs(shared: DataFrame, similarity: float, turn: int) -> DataFrame:
     """Each set of a token with one of its sets, another one each turn."""
     middle = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("rank"), F.col("key").alias("other"), F.col("size").alias("other_size"))).alias("m")
@@ -182,7 +196,7 @@ def similar_pairs(pairs: DataFrame, base: DataFrame, heads: DataFrame, similarit
 
 
 def cluster(
-    docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, turns: int = 2, block: int = 4096,
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, turns: int = 2, block: int = 4096, radius: int = 3,
 ) -> DataFrame:
     """(doc, tag, key, component_id, keeper_tag): the component of documents linked by shingle sets of the similarity.
 
@@ -190,9 +204,10 @@ def cluster(
     itself alone. component_id is the smallest document id reachable, null only where all ids are; keeper_tag marks that
     document's row. Repeated rows share a component. An empty table gives an empty table.
 
-    Equal sets meet as one. Sets that can reach the similarity share a prefix shingle; each is first compared with one set of
-    every such shingle, then pairs not connected by that are compared one and all, so a large group of near copies is not
-    compared pair by pair. No pair is left to chance: every candidate's similarity is computed from its whole set.
+    Equal sets meet as one. SimHash fingerprints of the shingles, compared by bit planes, link those within the radius; a wider radius
+    would meet nearly all pairs and still not reach every one of the similarity. Sets that can reach it share a prefix shingle; each is
+    compared with one set of every such shingle, then pairs not connected by that are compared one and all, so a large group of near
+    copies is not compared pair by pair. No pair is left to chance: every candidate's similarity is computed from its whole set.
     """
     base = packed(docs, doc=doc, text=text).withColumn("tag", row_tag("doc", "text"))
     prints = saved(sketches(base, common_shingles(base, shingle, seed), similarity, shingle, seed))
@@ -204,8 +219,10 @@ def cluster(
     shared = saved(shared_tokens(only).distinct())
     sketched = saved(only.join(shared.select("key").distinct(), "key", "left_semi").select("key", "size", "prefix").dropDuplicates(["key"]))
     links, tested = None, None
-    for turn in range(turns + 1):
-        if turn < turns:
+    for turn in range(-1, turns + 1):
+        if turn < 0:
+            pairs = print_pairs(only.select("key", "size", "print"), similarity, radius, block)
+        elif turn < turns:
             pairs = star_pairs(shared, similarity, turn)
         else:
             labelled = shared.join(components(links), F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")

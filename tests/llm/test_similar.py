@@ -81,3 +81,12 @@ def test_stage_over_the_given_documents(spark):
     heads = slow_heads({r["doc_id"]: r["text"] for r in docs.collect()})
     kept = corpus_pipeline.without_near_copies(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(heads.values()))
+
+
+def test_simhash_links_copies_that_differ_by_a_word(spark):
+    words = [f"w{n * 7919 % 100003}" for n in range(1500)]
+    texts = {1: " ".join(words), 2: " ".join(words[:700] + ["other"] + words[701:]), 3: " ".join(reversed(words))}
+    base = spark.createDataFrame([(d, d, t) for d, t in texts.items()], "doc long, tag long, text string")
+    prints = similar.sketches(base, np.empty(0, np.uint64), 0.8, 5, 42)
+    key = {r["doc"]: r["key"] for r in prints.collect()}
+    assert [tuple(r) for r in similar.print_pairs(prints, 0.8, 3, 4096).collect()] == [tuple(sorted((key[1], key[2])))]
