@@ -108,30 +108,35 @@ def usage_summary(rows: DataFrame) -> DataFrame:
 
 
 def usage_groups(rows: DataFrame, now: datetime) -> DataFrame:
-    """One row per group. A group may own a third of the rows, so rows are first reduced to the
-    distinct (group, actor, creator, key) tuples with their counts."""
-    tuple_cols = ["group_id", "group_name", "group_email", "key_type", "key_id", "channel", "outcome"]
-    actor = F.coalesce("actor_name", "actor_email", "actor_id").alias("actor")
-    creator = F.coalesce("creator_name", "creator_email").alias("creator")
-    packed = rows.groupBy(*tuple_cols, actor, creator).agg(
-        F.count("*").alias("n"),
-        F.max("ts").alias("last_op_at"),
-        F.bool_or(F.col("key_deleted_at").isNotNull()).alias("revoked"),
-        F.bool_or(F.col("key_expires_at") <= F.lit(now).cast("timestamp_ntz")).alias("expired"),
+    """One row per group. A group may own a third of the rows, so rows are first reduced to the distinct values of
+    each kind in a group, by plain sums; lists are made of these alone."""
+    group = ["group_id", "group_name", "group_email"]
+    kinds = {
+        "key_type": F.col("key_type"), "actor": F.coalesce("actor_name", "actor_email", "actor_id"),
+        "creator": F.coalesce("creator_name", "creator_email"), "key": F.col("key_id"),
+    }
+    named = [F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in kinds.items()]
+    told = rows.select(
+        *group, "channel", "outcome", "ts", F.col("key_deleted_at").isNotNull().alias("revoked"),
+        (F.col("key_expires_at") <= F.lit(now).cast("timestamp_ntz")).alias("expired"), F.inline(F.array(*named)),
     )
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    words = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
-    return packed.groupBy("group_id", "group_name", "group_email").agg(
+    once = F.col("kind") == "key_type"  # each row has one
+    counted = {
+        "ops": once, "api": once & (F.col("channel") == "api"), "mcp": once & (F.col("channel") == "mcp"),
+        "failed_ops": once & (F.col("outcome") == "error"), "unknown_ops": once & (F.col("outcome") == "called"),
+    }
+    values = told.groupBy(*group, "kind", "value").agg(
+        *[F.count_if(cond).alias(name) for name, cond in counted.items()],
+        F.max("ts").alias("last_op_at"), F.bool_or("revoked").alias("revoked"), F.bool_or("expired").alias("expired"),
+    )
+    words = lambda kind: F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("value")))), ", ")
+    return values.groupBy(*group).agg(
         words("key_type").alias("key_types"),
         words("actor").alias("actors"),
         words("creator").alias("creators"),
         F.when(F.bool_or("revoked"), "revoked").when(F.bool_or("expired"), "expired").otherwise("active").alias("status"),
-        F.sum("n").alias("ops"),
-        total(F.col("channel") == "api").alias("api"),
-        total(F.col("channel") == "mcp").alias("mcp"),
-        total(F.col("outcome") == "error").alias("failed_ops"),
-        total(F.col("outcome") == "called").alias("unknown_ops"),
-        F.countDistinct("key_id").alias("key_count"),
+        *[F.sum(name).alias(name) for name in counted],
+        F.count(F.when(F.col("kind") == "key", F.col("value"))).alias("key_count"),
         F.max("last_op_at").alias("last_op_at"),
     )
 
