@@ -138,3 +138,20 @@ def test_health_scores(rows):
     policies = rows("page_id int, stale_at string", (1, "x"), (5, None))
     got = {r["page_id"]: r["score"] for r in D.page_health(pages, sources, chunks, policies).collect()}
     assert got == {1: 30, 2: 30, 3: 100, 5: 70}
+
+
+def test_metrics_of_a_sample_are_joined_without_a_sort(rows, spark):
+    from folioscope.operators import evaluate
+
+    metrics = rows("sample_id int, metric string, value double", (1, "mrr", 1.0), (2, "mrr", 0.5), (2, "em", 0.0))
+    samples = rows("sample_id int, gold_count int, reference_count int, answer_mode string", (1, 0, 1, "general"), (2, 1, 0, "knowledge"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = evaluate.available_metrics(metrics, samples)
+        means = evaluate.metric_summary(metrics, samples)
+        assert [tuple(r) for r in found.collect()] == [(2, "mrr", 0.5)]
+        assert {(r["scope"], r["metric"], r["mean"]) for r in means.collect()} == {("overall", "mrr", 0.75), ("overall", "em", 0.0), ("knowledge_only", "mrr", 0.5), ("knowledge_only", "em", 0.0)}
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
