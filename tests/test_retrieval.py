@@ -154,3 +154,13 @@ def test_channels_are_fused_once_with_both_tags_and_quotas(rows):
     few = R.recall_channels(queries, vectors, {"evidence": evidence, "memory": memory}, 10, 3, {"evidence": 3})
     assert [r["chunk_id"] for r in few.orderBy("rank").collect()] == ["both", "a", "b"]
     assert R.recall_channels(queries.limit(0), vectors.limit(0), {"evidence": evidence}, 5, 5).count() == 0
+
+
+def test_images_of_citations_do_not_go_through_the_driver(rows):
+    from folioscope.operators import context
+
+    citations = rows("query_id int, position int, page_id int, answer string, evidence string", (1, 1, 1, "about red maps", "see the red map"))
+    images = rows("page_id int, attachment_id string, alt string, caption string, ordinal int", (1, "a", "red map", "a red map", 1), (2, "b", "sea", "sea", 1))
+    out = context.citation_images(citations, images)
+    assert [(r["query_id"], r["attachment_id"], r["kind"]) for r in out.collect()] == [(1, "a", 1)]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
