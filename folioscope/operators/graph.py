@@ -182,8 +182,8 @@ def modularity(membership: DataFrame, edges: DataFrame) -> float:
     """Newman modularity of membership(node, community) on edges(a, b, weight)."""
     both = edges.select("a", "b", "weight").union(edges.select("b", "a", "weight"))
     row = (
-        both.join(membership.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a")
-        .join(membership.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+        both.join(membership.select(F.col("node").alias("a"), F.col("community").alias("ca")).hint("shuffle_hash"), "a")
+        .join(membership.select(F.col("node").alias("b"), F.col("community").alias("cb")).hint("shuffle_hash"), "b")
         .groupBy("ca")
         .agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0)).alias("inside"))
         .agg(F.sum("k").alias("m2"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("k")).alias("k2"))
@@ -279,12 +279,13 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: in
         state = cut_lineage(links.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")).withColumn("community", F.col("node")))
         moved_any = False
         for turn in range(rounds):
-            where = state.select(F.col("node").alias("dst"), F.col("community").alias("target"))
+            # ids pack so well in files that the planner takes a table of all nodes for small and sends it through the driver, so joins are named
+            where = state.select(F.col("node").alias("dst"), F.col("community").alias("target")).hint("shuffle_hash")
             pull = links.filter(F.col("src") != F.col("dst")).join(where, "dst").groupBy(F.col("src").alias("node"), "target").agg(
                 F.sum("weight").alias("w")
             )
             sums = state.groupBy(F.col("community").alias("target")).agg(F.sum("k").alias("mass"))
-            offers = pull.join(state, "node").join(sums, "target")
+            offers = pull.join(state.hint("shuffle_hash"), "node").join(sums.hint("shuffle_hash"), "target")
             mass = F.col("mass") - F.when(F.col("target") == F.col("community"), F.col("k")).otherwise(0)
             gain = F.col("w") - F.col("k") * mass / (2 * total)
             own = F.max(F.when(F.col("target") == F.col("community"), F.col("gain")))
@@ -295,7 +296,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: in
                 .filter((F.col("gain") > F.coalesce("own_gain", F.lit(0.0))) & (F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2))
             )
             state_next = cut_lineage(
-                state.join(best.select("node", "to"), "node", "left").select(
+                state.join(best.select("node", "to").hint("shuffle_hash"), "node", "left").select(
                     "node", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")
                 )
             )
@@ -306,11 +307,11 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: in
                 break
         if not moved_any:
             break
-        step = state.select(F.col("node").alias("community"), F.col("community").alias("_up"))
+        step = state.select(F.col("node").alias("community"), F.col("community").alias("_up")).hint("shuffle_hash")
         placed = cut_lineage(
             placed.join(step, "community", "left").select("node", F.coalesce("_up", "community").alias("community"))
         )
-        up = state.select("node", "community")
+        up = state.select("node", "community").hint("shuffle_hash")
         links = cut_lineage(
             links.join(up.select(F.col("node").alias("src"), F.col("community").alias("s")), "src")
             .join(up.select(F.col("node").alias("dst"), F.col("community").alias("d")), "dst")

@@ -102,3 +102,14 @@ def test_adamic_adar_and_insights(rows):
     nodes = rows("page_id int", (1,), (2,), (7,))
     flags = {r["node"]: (r["isolated"], r["bridge"]) for r in G.graph_insights(nodes, edges, rows("node int, community string", (1, "x"), (2, "y"), (3, "x"), (4, "y"), (5, "x"))).collect()}
     assert flags == {1: (False, True), 2: (False, True), 7: (True, False)}
+
+
+def test_community_rounds_broadcast_nothing(rows, monkeypatch):
+    from folioscope.operators import graph
+
+    plans, write = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    nodes = rows("page_id int", *[(i,) for i in range(4)])
+    edges = rows("a int, b int, weight double", (0, 1, 1.0), (2, 3, 1.0))
+    assert graph.communities(nodes, edges, rounds=2, levels=1).count() == 4
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
