@@ -13,6 +13,8 @@ from folioscope.session import cut_lineage
 from folioscope.sources.snapshots import Snapshots
 
 BATCH = 100_000
+# A swap costs several jobs and rewrites the leaves it touches, so a run makes no more of them than this.
+SWAPS = 16
 
 
 def finished(store: Snapshots, profile: str, failed_too: bool) -> DataFrame | None:
@@ -31,7 +33,8 @@ def rebuild_vectors(
     chunks(chunk_id, embedding, embedding_text, profile, stale_at); `store` is keyed by chunk_id and gets two tables. `vectors` (chunk_id, embedding, profile)
     holds what succeeded, `ledger` (chunk_id, profile, rebuilt, seconds) every chunk that was tried, with its share of the batch's time; a null vector is a
     failure. Both change in one swap after each batch, so a run that breaks off has either all of a batch or nothing, and the next run goes
-    on behind it. Batches are parts of the hash space, as the leaves of the store are, so that a batch writes its own leaves.
+    on behind it. Batches are parts of the hash space, as the leaves of the store are, so that a batch writes its own leaves. A batch is about
+    `batch` chunks, or a SWAPS-th of the run if that is more, so the swaps of a run do not grow with it.
     """
     todo = rebuild_plan(chunks, profile).select("chunk_id", "embedding_text")
     done = finished(store, profile, not retry_failed)
@@ -40,7 +43,7 @@ def rebuild_vectors(
     todo = cut_lineage(todo)
     total = todo.count()
     parts = 1
-    while parts * batch < total:
+    while parts * batch < total and parts < SWAPS:
         parts *= 2
     for part in range(parts):
         start = time.monotonic()

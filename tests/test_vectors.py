@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.sources import vectors
 from folioscope.sources.snapshots import Snapshots
 from folioscope.sources.vectors import rebuild_counts, rebuild_vectors
 
@@ -42,3 +43,15 @@ def test_a_broken_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert store.read("vectors").count() == 35
     assert rebuild_vectors(chunks, "new", embed, store, 10) == 0
     assert rebuild_vectors(chunks, "new", embed, store, 10, retry_failed=True) == 1
+
+
+def test_the_swaps_of_a_run_do_not_grow_with_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "SWAPS", 2, raising=False)
+    chunks = spark.range(60).select(
+        F.col("id").alias("chunk_id"), F.lit(None).cast("array<double>").alias("embedding"), F.col("id").alias("embedding_text"),
+        F.lit("old").alias("profile"), F.lit(None).cast("string").alias("stale_at"),
+    )
+    store = Snapshots(spark, str(tmp_path / "v"), "chunk_id", leaf_rows=100)
+    assert rebuild_vectors(chunks, "new", lambda c: F.array(c.cast("double")), store, 10) == 60
+    assert len(store.versions()) == 2
+    assert {(r["chunk_id"], r["embedding"][0]) for r in store.read("vectors").collect()} == {(i, float(i)) for i in range(60)}
