@@ -310,6 +310,19 @@ def supplemental_access(first: DataFrame, second: DataFrame, restricted: DataFra
     ).distinct()
 
 
+def supplemental_pages(pages: DataFrame, access: DataFrame, grants: DataFrame, first, second) -> DataFrame:
+    """`supplemental_access` of two readers; zones, chains and who passes them are found once for both.
+
+    A restricted page is one in a zone, so what stays closed are the pages of zones that neither passes.
+    """
+    if access.isEmpty():
+        return pages.select("page_id").distinct()
+    zoned = cut_lineage(zones(pages, access).select("page_id", "zone"))
+    passed = passing(restriction_chain(pages, access, zoned), grants.filter(F.col("user_id").isin(first, second)))
+    closed = zoned.join(passed.select("zone"), "zone", "left_anti")
+    return pages.select("page_id").join(closed.select("page_id"), "page_id", "left_anti").distinct()
+
+
 def redact_metadata(chunks: DataFrame, page_sources: DataFrame, readable: DataFrame, contributions: DataFrame) -> DataFrame:
     """Title, body and key of a page only when all its sources are readable; otherwise the title comes
     from the chunk's own source contribution, and body and key are blank."""

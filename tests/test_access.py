@@ -190,3 +190,21 @@ def test_groups_are_spread_only_where_nothing_narrower_is_required(rows, monkeyp
     assert pairs(A.users_with_access(pages, access, permissions, pages, users, members)) == want + [("solo", u) for u in ("ann", "bob", "dan", "eve")]
     counts = A.visible_counts(pages, access, permissions, users, members)
     assert pairs(counts) == [("ann", 4), ("bob", 3), ("dan", 3), ("eve", 1)]
+
+
+def test_supplemental_pages_find_zones_once_for_both_readers(spark, rows, monkeypatch):
+    from folioscope.operators import access as AC
+    from folioscope.plans import catalog
+
+    pages = rows("page_id string, parent_id string", ("a", None), ("b", "a"), ("c", "b"), ("d", "a"), ("e", "d"), ("f", None), ("g", "f"))
+    access = rows("page_id string", ("b",), ("d",), ("e",), ("f",))
+    grants = rows("page_id string, user_id long, can_write boolean", ("b", 1, False), ("d", 1, True), ("d", 2, False), ("e", 2, False), ("f", 3, False))
+    seen = lambda user: AC.visible_pages(pages, access, grants, user)
+    want = AC.supplemental_access(seen(1), seen(2), AC.zones(pages, access))
+    ids = lambda df: sorted(r["page_id"] for r in df.collect())
+    assert ids(AC.supplemental_pages(pages, access, grants, 1, 2)) == ids(want) == ["a", "b", "c", "d", "e"]
+    assert ids(AC.supplemental_pages(pages, access.limit(0), grants, 1, 2)) == ids(pages)
+    calls, real = [], AC.zones
+    monkeypatch.setattr(AC, "zones", lambda *args: calls.append(1) or real(*args))
+    catalog.QUERIES["supplemental_access"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
