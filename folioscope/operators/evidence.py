@@ -5,6 +5,8 @@ Evidence of one sample is one row for each metric. It is as long as what the sam
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,34 +76,40 @@ def _cell(metric: str, value: Column, k: int | None = None, **parts: Column) ->
     )
 
 
-def retrieval_evidence(retrieved: DataFrame, page_to_doc: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+def retrieval_evidence(
+    retrieved: DataFrame, page_to_doc: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS, shown: Callable[[Column], Column] = lambda documents: documents,
+) -> DataFrame:
     """(sample_id, metric, k, value, numerator, denominator, gold_doc_ids, documents) for samples with gold documents.
 
-    `documents` are those the metric looked at: the first k, or all. Numerator and denominator are the operands: gold documents found over
-    documents looked at (precision) or wanted (recall), gain over ideal gain (ndcg), one over the first gold rank (mrr), documents found
-    over the mean of looked at and wanted (retrieval_f1).
+    `documents` are those the metric looked at: the first k, or all; `shown` says how they are given. Numerator and denominator are the operands: gold
+    documents found over documents looked at (precision) or wanted (recall), gain over ideal gain (ndcg), one over the first gold rank (mrr), documents
+    found over the mean of looked at and wanted (retrieval_f1). What several metrics look at is one row first, so it is counted and shown once.
     """
     rows = _golds(gold).join(document_rows(retrieved, page_to_doc, gold), "sample_id", "left").withColumn("documents", _or_empty("documents", DOCUMENT))
-    documents, golds = F.col("documents"), _count(F.col("gold_doc_ids"))
-    gold_of = lambda docs: F.filter(docs, lambda d: d["is_gold"])
-    hits, first = _count(gold_of(documents)), F.get(gold_of(documents), F.lit(0))["rank"]
-    cells = [
-        _cell("mrr", F.coalesce(1.0 / first, F.lit(0.0)), numerator=(hits > 0).cast("int"), denominator=first, documents=documents),
-        _cell("retrieval_f1", _ratio(2 * hits, _count(documents) + golds), numerator=hits, denominator=(_count(documents) + golds) / 2, documents=documents),
+    documents, k, golds = F.col("documents"), F.col("k"), _count(F.col("gold_doc_ids"))
+    looks = [F.struct(F.lit(n).cast("int").alias("k"), (documents if n is None else F.slice(documents, 1, n)).alias("documents")) for n in (None, *ks)]
+    gold_of = F.filter(documents, lambda d: d["is_gold"])
+    ideal = _total(F.transform(F.sequence(F.lit(1), F.least(golds, k).cast("int")), lambda r: 1.0 / F.log2(r + 1)))
+    looked = rows.select("sample_id", "gold_doc_ids", F.inline(F.array(*looks))).select(
+        "sample_id", "gold_doc_ids", "k", shown(documents).alias("documents"), golds.alias("golds"), _count(documents).alias("shown"), _count(gold_of).alias("found"),
+        F.get(gold_of, F.lit(0))["rank"].alias("first"), _total(F.transform(documents, lambda d: d["gain"])).alias("dcg"), F.when(k.isNotNull(), ideal).alias("ideal"),
+    )
+    golds, count, found, first, dcg, ideal = (F.col(c) for c in ("golds", "shown", "found", "first", "dcg", "ideal"))
+    of_all = [
+        _cell("mrr", F.coalesce(1.0 / first, F.lit(0.0)), numerator=(found > 0).cast("int"), denominator=first),
+        _cell("retrieval_f1", _ratio(2 * found, count + golds), numerator=found, denominator=(count + golds) / 2),
+    ]
+    of_first = [
+        _cell("precision", _ratio(found, count), numerator=found, denominator=count),
+        _cell("recall", found / golds, numerator=found, denominator=golds),
+        _cell("hit", (found > 0).cast("int"), numerator=found, denominator=F.lit(1)),
+        _cell("full_coverage", (found == golds).cast("int"), numerator=found, denominator=golds),
+        _cell("ndcg", dcg / ideal, numerator=dcg, denominator=ideal),
     ]
-    for k in ks:
-        top = F.slice(documents, 1, k)
-        found, shown = _count(gold_of(top)), _count(top)
-        dcg = _total(F.transform(top, lambda d: d["gain"]))
-        ideal = _total(F.transform(F.sequence(F.lit(1), F.least(golds, F.lit(k)).cast("int")), lambda r: 1.0 / F.log2(r + 1)))
-        cells += [
-            _cell("precision", _ratio(found, shown), k, numerator=found, denominator=shown, documents=top),
-            _cell("recall", found / golds, k, numerator=found, denominator=golds, documents=top),
-            _cell("hit", (found > 0).cast("int"), k, numerator=found, denominator=F.lit(1), documents=top),
-            _cell("full_coverage", (found == golds).cast("int"), k, numerator=found, denominator=golds, documents=top),
-            _cell("ndcg", dcg / ideal, k, numerator=dcg, denominator=ideal, documents=top),
-        ]
-    return rows.select("sample_id", "gold_doc_ids", F.inline(F.array(*cells)))
+    cells = F.when(k.isNull(), F.array(*[c.dropFields("k") for c in of_all])).otherwise(F.array(*[c.dropFields("k") for c in of_first]))
+    return looked.select("sample_id", "gold_doc_ids", "documents", "k", F.inline(cells)).select(
+        "sample_id", "gold_doc_ids", "metric", "k", "value", "numerator", "denominator", "documents"
+    )
 
 
 def answer_evidence(predictions: DataFrame, references: DataFrame) -> DataFrame:
