@@ -108,7 +108,8 @@ def merge_contributions(contributions: DataFrame, budget: int = MAX_SHARED_CHUNK
     joined = pieces.groupBy("artifact_id").agg(
         F.count("*").alias("pieces"), F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("text")
     )
-    return head.join(joined, "artifact_id").withColumn("over_budget", F.col("pieces") > budget)
+    # every artifact has a piece; as a left join it is left out by the planner where no text is asked for
+    return head.join(joined, "artifact_id", "left").withColumn("over_budget", F.col("pieces") > budget)
 
 
 def merged_children(rows: DataFrame, key: Column, columns: list[str]) -> DataFrame:
