@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions.text import han_bigrams, latin_terms, normalize_title, query_terms, trigrams
-from folioscope.functions.vectors import dense_topk
+from folioscope.functions.vectors import CELLS, dense_topk
 from folioscope.operators.paging import top_per_key
-from folioscope.session import cut_lineage
 
 # Fusion, gates and graph weights.
 RRF_K = 60
@@ -32,6 +34,8 @@ COMMON_MIN = 20
 MATCH_RATIO = 0.75
 TRIGRAM_FLOOR = 0.3
 CONTEXT_CHARS = 12_000
+# Queries and chunks that meet in one task of the lexical recall, and characters of these chunks.
+QUERY_BLOCK, CHUNK_SPAN, SPAN_CHARS = 1 << 17, 1 << 14, 1 << 25
 
 
 # --- recall --------------------------------------------------------------------------------------------
@@ -46,10 +50,9 @@ def term_classes(query_rows: DataFrame, chunk_rows: DataFrame, total: DataFrame)
     """(query_id, term, df, common) for exploded terms; total is the one-value frame of the chunk count.
 
     A term is common when it is in more than 5% of the chunks and in more than 20 of them. df is one
-    aggregation with partial counts, so the most frequent term costs no more than any other.
+    aggregation with partial counts before any join, so the rows of words go through no exchange.
     """
-    wanted = query_rows.select("term").distinct()
-    df = chunk_rows.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = chunk_rows.groupBy("term").agg(F.count("*").alias("df"))
     bound = F.greatest(F.lit(COMMON_MIN), F.ceil(total.scalar() * COMMON_RATIO))
     return query_rows.join(df, "term", "left").select(
         "query_id", "term", F.coalesce("df", F.lit(0)).alias("df"), (F.coalesce("df", F.lit(0)) > bound).alias("common")
@@ -60,44 +63,97 @@ def minimum_match(n: Column) -> Column:
     return F.when(n <= 2, n).otherwise(F.floor(n * MATCH_RATIO)).cast("int")
 
 
+def _best_covered(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """The k best chunks of `held` for each query of `asked`, by how many of its rare terms they hold, then by the density of all its terms."""
+    held = held.take(pc.sort_indices(held["chunk_id"]))  # so that places of chunks are in order of their ids
+    flat = lambda rows, name: (rows[name].combine_chunks().flatten().to_numpy(), pc.list_value_length(rows[name]).to_numpy())
+    words, sizes = flat(held, "held")
+    latin, n = held["words"].to_numpy(), held.num_rows
+    (rare, rares), (common, commons) = flat(asked, "rare"), flat(asked, "common")
+    needed = asked["needed"].to_numpy()
+    # places of the words that are asked for, and how often each stands in a chunk; a key is a term and a chunk
+    terms = np.unique(np.concatenate([rare, common]))
+    chunk = np.repeat(np.arange(n), sizes)
+    at = np.searchsorted(terms, words)
+    known = np.flatnonzero(terms[np.minimum(at, len(terms) - 1)] == words)
+    counts = known - np.repeat(np.cumsum(sizes) - sizes, sizes)[known] < latin[chunk[known]]
+    keys, place = np.unique(at[known] * n + chunk[known], return_inverse=True)
+    often, holder = np.bincount(place, counts, len(keys)), keys % n
+    first = np.searchsorted(keys, np.arange(len(terms) + 1) * n)
+    rare, common = np.searchsorted(terms, rare), np.searchsorted(terms, common)
+    rare_ends, common_ends = (np.concatenate([[0], np.cumsum(x)]) for x in (rares, commons))
+
+    def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of all ranges, one after the other."""
+        return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+    found = []
+    step = max(1, CELLS // n)
+    for start in range(0, asked.num_rows, step):
+        stop = min(start + step, asked.num_rows)
+        these = rare[rare_ends[start] : rare_ends[stop]]
+        lengths = first[these + 1] - first[these]
+        row = np.repeat(np.repeat(np.arange(stop - start), rares[start:stop]), lengths)
+        coverage = np.bincount(row * n + holder[spread(first[these], lengths)], minlength=(stop - start) * n).reshape(-1, n)
+        good = coverage >= needed[start:stop, None]
+        # the density adds half a term at most, so a chunk behind the k-th in coverage alone cannot come before it
+        many = np.flatnonzero(good.sum(axis=1) > k)
+        if len(many):
+            edge = np.partition(coverage[many], n - k, axis=1)[:, n - k]
+            good[many] &= coverage[many] >= edge[:, None]
+        q, c = np.nonzero(good)
+        total = np.zeros(len(q))
+        for own, ends in ((rare, rare_ends), (common, common_ends)):
+            lengths = ends[q + start + 1] - ends[q + start]
+            key = own[spread(ends[q + start], lengths)] * n + np.repeat(c, lengths)
+            place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+            total += np.bincount(np.repeat(np.arange(len(q)), lengths)[hit], often[place[hit]], len(q))
+        r = total / np.maximum(latin[c], 1)
+        score = coverage[q, c] + r / (r + 1)
+        order = np.lexsort((c, -score, q))
+        rank = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        order = order[rank < k]
+        found.append((q[order] + start, c[order], coverage[q[order], c[order]], score[order]))
+    q, c, covered, score = (np.concatenate(x) for x in zip(*found))
+    return pa.table({"query_id": asked["query_id"].take(pa.array(q)), "chunk_id": held["chunk_id"].take(pa.array(c)), "coverage": covered, "score": score})
+
+
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """queries(query_id, text), chunks(chunk_id, text): best k chunks by rare-term coverage.
 
-    Only rare terms are joined through the term table, so the fan-out of a term is at most 5% of the
-    chunks and frequent words never meet in a join. All terms, common ones too, count in the
-    tie-breaking density: the share of a chunk's words that are terms of the query.
+    A chunk must hold enough of the query's rare terms; all terms, common ones too, count in the tie-breaking density: the share of a
+    chunk's words that are terms of the query. Queries are hashed into blocks and chunks into spans, and a block meets a span in one task, as
+    for dense lists: pairs of a query and a chunk are counted there, and only the k best of a span go on. What is exchanged are the words of
+    the chunks once for each block of queries and the terms of the queries once for each span. Terms meet as 64-bit hashes.
     """
-    exploded = with_terms(queries).select("query_id", F.explode("terms").alias("term"))
-    # One pass over the texts: of the words that queries ask for, how often each stands in a chunk, kept as files.
     lower = F.lower("text")
-    counted = lambda words, one: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(one).alias("tf")))
     words = chunks.select("chunk_id", latin_terms(lower).alias("latin"), F.array_distinct(han_bigrams(lower)).alias("han"))
-    held = cut_lineage(
-        words.select("chunk_id", F.size("latin").alias("words"), F.inline(F.concat(counted("latin", 1), counted("han", 0))))
-        .join(exploded.select("term").distinct(), "term", "left_semi")
-        .groupBy("chunk_id", "term", "words").agg(F.sum("tf").alias("tf"))
-    )
-    classes = term_classes(exploded, held, chunks.agg(F.count("*").alias("total")))
-    rare = classes.filter(~F.col("common"))
-    needed = rare.groupBy("query_id").agg(minimum_match(F.count("*")).alias("needed"))
-    hits = (
-        rare.select("query_id", "term")
-        .join(held, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.count("*").alias("coverage"))
-        .join(needed, "query_id")
-        .filter(F.col("coverage") >= F.col("needed"))
-    )
-    # The density adds half a term at most, so a chunk behind the k-th in coverage alone cannot come before it.
-    best = Window.partitionBy("query_id").orderBy(F.desc("coverage"))
-    hits = hits.withColumn("place", F.rank().over(best)).filter(F.col("place") <= k)
-    dense = hits.join(exploded, "query_id").join(held, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(
-        F.first("coverage").alias("coverage"), (F.sum("tf") / F.greatest(F.max("words"), F.lit(1))).alias("r")
-    )
-    scored = dense.select(
-        "query_id", "chunk_id", "coverage", (F.col("coverage") + F.col("r") / (F.col("r") + 1)).alias("score")
-    )
-    return top_per_key(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    terms = with_terms(queries).select("query_id", F.explode("terms").alias("term"))
+    each = words.select(F.explode(F.array_distinct(F.concat("latin", "han"))).alias("term"))
+    classes = term_classes(terms, each, chunks.agg(F.count("*").alias("total")))
+    listed = lambda common: F.collect_list(F.when(F.col("common") == common, F.xxhash64("term")))
+    asked = classes.groupBy("query_id").agg(listed(False).alias("rare"), listed(True).alias("common")).filter(F.size("rare") > 0)
+    size = chunks.agg(F.count("*"), F.sum(F.length("text"))).first()
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    spans = max(1, -(-size[0] // CHUNK_SPAN), -(-(size[1] or 0) // SPAN_CHARS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.select("query_id", "rare", "common", minimum_match(F.size("rare")).alias("needed"), part("query_id", blocks).alias("block")).withColumn("span", every(spans))
+    hashed = F.transform(F.concat("latin", "han"), lambda w: F.xxhash64(w))
+    right = words.select("chunk_id", F.size("latin").alias("words"), hashed.alias("held"), part("chunk_id", spans).alias("span"))
+    right = right.filter(F.size("held") > 0).withColumn("block", every(blocks))
+    types = tuple(df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, "chunk_id")))
+    schema = "query_id {}, chunk_id {}, coverage long, score double".format(*types)
+
+    def best(these: pa.Table, those: pa.Table) -> pa.Table:
+        if these.num_rows and those.num_rows:
+            return _best_covered(these, those, k)
+        empty = pa.array([], pa.int64()), pa.array([], pa.float64())
+        return pa.table({"query_id": these["query_id"].slice(0, 0), "chunk_id": those["chunk_id"].slice(0, 0), "coverage": empty[0], "score": empty[1]})
+
+    found = left.groupBy("block", "span").cogroup(right.groupBy("block", "span")).applyInArrow(best, schema)
+    return top_per_key(found, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 PREFIX_STEPS = [1, 2, 4, 8, 16, 32, 64]

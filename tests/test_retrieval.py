@@ -164,3 +164,28 @@ def test_images_of_citations_do_not_go_through_the_driver(rows):
     out = context.citation_images(citations, images)
     assert [(r["query_id"], r["attachment_id"], r["kind"]) for r in out.collect()] == [(1, "a", 1)]
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lexical_pairs_stay_in_their_block_and_span(rows, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(R, "CHUNK_SPAN", 5)
+    monkeypatch.setattr(R, "CELLS", 8)
+    words = ["red fox", "red fox ran", "fox", "red red", "a1 b2 c3 d4", "a1 b2 c3", "a1 b2 c3 zz zz", "日本語", "日本", ""]
+    chunks = rows("chunk_id long, text string", *[(i, w) for i, w in enumerate(words * 2)], (20, None))
+    queries = rows("query_id long, text string", *enumerate(["red fox", "a1 b2 c3 d4", "日本語", "none of these", "", "red", "zz", "fox d4"]), (8, None))
+    found = R.lexical_topk(queries, chunks, 3)
+    held = [(i, w.split() if w.isascii() else [], [w[j : j + 2] for j in range(len(w) - 1)] if not w.isascii() else []) for i, w in enumerate(words * 2)]
+    want = []
+    for q, asked in enumerate([["red", "fox"], ["a1", "b2", "c3", "d4"], ["日本", "本語"], ["none", "of", "these"], [], ["red"], ["zz"], ["fox", "d4"]]):
+        hits = []
+        for i, latin, han in held:
+            latin = [w for w in latin if len(w) > 1]
+            covered = len(set(asked) & set(latin + han))
+            r = sum(w in asked for w in latin) / max(len(latin), 1)
+            if asked and covered >= (len(asked) if len(asked) < 3 else len(asked) * 3 // 4):
+                hits.append((-covered - r / (r + 1), i, covered))
+        want += [(q, i, c, -s, n) for n, (s, i, c) in enumerate(sorted(hits)[:3], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    # no table of pairs is made: the only rows with both ids are the best of a span
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Aggregate [" in line and "query_id" in line and "chunk_id" in line]
