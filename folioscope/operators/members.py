@@ -49,7 +49,9 @@ def recipients(page_watchers: DataFrame, pages: DataFrame, space_watchers: DataF
     placed = pages.groupBy("page_id").agg(F.collect_set("space_id").alias("_spaces")).join(silent, "page_id", "left")
     heard = ~F.coalesce(F.array_contains("_muted", F.col("user_id")), F.lit(False))
     pairs = lambda some: some.withColumn("space_id", F.explode("_spaces")).join(watching, "space_id").filter(heard).select("page_id", "user_id")
-    by_space = pairs(placed.filter(F.size("_spaces") == 1)).unionByName(pairs(placed.filter(F.size("_spaces") > 1)).distinct())
+    # pages of one space follow each other, so the same users come again and again, which files keep in little room
+    single = placed.filter(F.size("_spaces") == 1).sortWithinPartitions(F.get("_spaces", F.lit(0)), "page_id")
+    by_space = pairs(single).unionByName(pairs(placed.filter(F.size("_spaces") > 1)).distinct())
     # page watchers who watch a space of the page as well are there already
     own = page_watchers.select("page_id", "user_id").distinct().join(muted, ["page_id", "user_id"], "left_anti")
     there = own.join(pages.select("page_id", "space_id"), "page_id").join(watching, ["space_id", "user_id"], "left_semi")

@@ -110,3 +110,20 @@ def test_recipients_send_no_pairs_through_an_exchange(rows, spark):
     # above the join of pages with watchers there is a union and no exchange
     top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
     assert top.startswith("Union")
+
+
+def test_recipients_keep_pages_of_a_space_together(rows):
+    from itertools import groupby
+
+    from pyspark.sql import functions as F
+
+    from folioscope.operators.members import recipients
+
+    pages = rows("page_id long, space_id int", *[(i, i % 4) for i in range(200)])
+    watching = rows("space_id int, user_id long", *[(i % 4, i) for i in range(12)])
+    none = rows("page_id long, user_id long")
+    found = recipients(none, pages, watching, none).withColumn("part", F.spark_partition_id()).collect()
+    assert len(found) == 600
+    for _, part in groupby(found, lambda r: r["part"]):
+        spaces = [s for s, _ in groupby(part, lambda r: r["page_id"] % 4)]
+        assert len(spaces) == len(set(spaces))
