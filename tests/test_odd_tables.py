@@ -112,18 +112,22 @@ def test_recipients_send_no_pairs_through_an_exchange(rows, spark):
     assert top.startswith("Union")
 
 
-def test_recipients_keep_pages_of_a_space_together(rows):
+def test_recipients_keep_pages_of_a_space_together(rows, spark):
     from itertools import groupby
 
     from pyspark.sql import functions as F
 
     from folioscope.operators.members import recipients
 
-    pages = rows("page_id long, space_id int", *[(i, i % 4) for i in range(200)])
+    pages = rows("page_id long, space_id int", *[(i, i % 4) for i in range(4000)])
     watching = rows("space_id int, user_id long", *[(i % 4, i) for i in range(12)])
     none = rows("page_id long, user_id long")
-    found = recipients(none, pages, watching, none).withColumn("part", F.spark_partition_id()).collect()
-    assert len(found) == 600
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4kb")  # pages are too many for a broadcast, watchers are not
+    try:
+        found = recipients(none, pages, watching, none).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == 12000
     for _, part in groupby(found, lambda r: r["part"]):
         spaces = [s for s, _ in groupby(part, lambda r: r["page_id"] % 4)]
         assert len(spaces) == len(set(spaces))
